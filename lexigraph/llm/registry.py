@@ -1,8 +1,8 @@
 """The queries of this subpackage and their SQL."""
 
-from lexigraph.llm import components, copies, frequencies, together
+from lexigraph.llm import components, copies, frequencies, leaks, mixing, together
 
-MODULES = (copies, components, frequencies, together)
+MODULES = (copies, components, frequencies, together, leaks, mixing)
 
 
 def queries() -> dict:
