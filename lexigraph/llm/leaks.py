@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,10 +144,10 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id").collect()
         if not part:
             continue
-        index = spark.sparkContext.broadcast(ItemIndex([r.item_id for r in part], [r.text for r in part], stock))
+        index = spark.sparkContext.broadcast(cloudpickle.dumps(ItemIndex([r.item_id for r in part], [r.text for r in part], stock)))
 
         def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            ix = index.value
+            ix = pickle.loads(index.value)
             for big in batches:
                 for lo in range(0, big.num_rows, 1000):
                     b = big.slice(lo, 1000)
