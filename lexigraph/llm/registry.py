@@ -1,8 +1,8 @@
 """The queries of this subpackage and their SQL."""
 
-from lexigraph.llm import components, copies, frequencies, leaks, mixing, repetition, together
+from lexigraph.llm import components, copies, frequencies, leaks, mixing, neighbors, repetition, together
 
-MODULES = (copies, components, frequencies, together, leaks, mixing, repetition)
+MODULES = (copies, components, frequencies, together, leaks, mixing, repetition, neighbors)
 
 
 def queries() -> dict:
