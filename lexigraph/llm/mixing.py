@@ -109,12 +109,11 @@ def mix(docs: DataFrame, targets: DataFrame, scratch: Scratch, total_tokens: int
     plan = []
     for s, blocks in quota.items():
         per = sainte_lague(have[s], blocks, {h: n * want[s][1] // block for h, n in have[s].items()})
-        missing = blocks - sum(per.values())  # lost where shards round down: whole tokens to the shards with room
+        missing = (blocks - sum(per.values())) * block  # tokens lost where shards round down go to the shards with room
         for h in sorted(per):
-            n = per[h] * block
-            room = min(have[s][h] * want[s][1] - n, missing * block)
-            plan.append((s, h, (n + max(0, room)) // have[s][h], (n + max(0, room)) % have[s][h]))
-            missing -= max(0, room) / block
+            more = max(0, min(have[s][h] * want[s][1] - per[h] * block, missing))
+            missing -= more
+            plan.append((s, h, (per[h] * block + more) // have[s][h], (per[h] * block + more) % have[s][h]))
     p = spark.createDataFrame(plan, "source string, shard int, passes long, rest long")
     w = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     d = sized.join(F.broadcast(p), ["source", "shard"]).withColumn("before", F.coalesce(F.sum("n_tokens").over(w), F.lit(0)))
