@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from lexigraph.llm.vectors import exact_cosine, packed, sample, unit, unpacked, usable
 from lexigraph.session import Scratch, table
 
-LIST_SIZE = 4096  # vectors of a posting list, as far as the sample tells
-RING = 0.25  # a list is kept in rings of this width around its centroid
-REPLICATE, PROBE = 0.02, 0.35  # distance ratios beyond the nearest centroid
+PART = 16  # vectors of the sample for one centroid
+LIST_SIZE, LIST_REACH = 6000, 0.45  # a posting list joins near centroids, up to so many vectors and so far apart
+REPLICATE, PROBE = 0.02, 0.25  # distance ratios beyond the nearest centroid
+SLACK = 0.1  # and, for vectors far from every centroid, squared distance beyond the nearest
+RING, RINGS = 0.25, 16  # it is known in which rings of this width around each centroid members lie
 TASK_MEMBERS, TASK_QUERIES = 8192, 16_384
 COMPLETE = 4096  # up to so many centroids, their graph is complete
 
@@ -46,31 +48,53 @@ def balanced_centroids(x: np.ndarray, most: int, seed: int = 7) -> np.ndarray:
     return np.array(out, "f4").reshape(-1, x.shape[1])
 
 
+def joined(c: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The number of each centroid's posting list: from the largest on, a centroid takes the nearest free ones within
+    LIST_REACH, as long as the list holds at most LIST_SIZE vectors."""
+    lists, free, n = np.full(len(c), -1, "i8"), np.ones(len(c), bool), 0
+    sq = (c * c).sum(1)
+    for i in np.argsort(-sizes, kind="stable"):
+        if free[i]:
+            d = sq + sq[i] - 2 * c @ c[i]
+            d[i] = -1
+            o = np.flatnonzero(free & (d <= LIST_REACH**2))
+            o = o[np.argsort(d[o], kind="stable")]
+            take = np.r_[i, o[1:][np.cumsum(sizes[o])[1:] <= LIST_SIZE]]
+            lists[take], free[take] = n, False
+            n += 1
+    return lists
+
+
 class Centroids:
-    """The centroids and a graph of their nearest ones, searched from a few entries along the graph's edges.
+    """The centroids, the posting list of each, and a graph of their nearest ones, searched from a few entries along
+    its edges.  Up to COMPLETE centroids the graph is complete, so the search is one matrix product.
 
-    Up to COMPLETE centroids the graph is complete, so the search is one matrix product.
+    ``occupied`` tells in which rings around each centroid there are members; unknown, everywhere.
     """
 
-    def __init__(self, c: np.ndarray, degree: int = 24):
-        self.c, self.sq = c, (c * c).sum(1)
+    def __init__(self, c: np.ndarray, lists: np.ndarray, occupied: np.ndarray | None = None, degree: int = 24):
+        self.c, self.lists, self.sq = c, lists, (c * c).sum(1)
+        self.occupied = np.concatenate([np.zeros((len(c), 1), "i8"), np.cumsum(occupied if occupied is not None else np.ones((len(c), RINGS), bool), axis=1)], axis=1)
         self.complete = len(c) <= COMPLETE
         if not self.complete:
-            self.edges = np.concatenate([np.argpartition(self.sq - 2 * c[i : i + 512] @ c.T, degree + 1, axis=1)[:, : degree + 1] for i in range(0, len(c), 512)])
+            self.edges = np.concatenate([np.argpartition(self.sq - 2 * c[i : i + 512] @ c.T, degree, axis=1)[:, : degree + 1] for i in range(0, len(c), 512)])
             self.entries = np.linspace(0, len(c) - 1, int(len(c) ** 0.5)).astype("i8")
 
-    def near(self, x: np.ndarray, width: int = 64) -> tuple[np.ndarray, np.ndarray]:
-        """(list numbers, squared distances), a row for each vector; repeated numbers are infinitely far."""
+    def near(self, x: np.ndarray, width: int = 64) -> tuple[np.ndarray | None, np.ndarray]:
+        """(centroid numbers, squared distances), a row for each vector; without numbers, of every centroid in order.
+        Repeated numbers are infinitely far."""
         if self.complete:
-            return np.broadcast_to(np.arange(len(self.c)), (len(x), len(self.c))), np.maximum(0, 1 + self.sq - 2 * x @ self.c.T)
+            s = x @ (-2 * self.c.T)
+            s += 1 + self.sq
+            return None, s
         ids = np.broadcast_to(self.entries, (len(x), len(self.entries)))
-        d = np.maximum(0, 1 + self.sq[ids] - 2 * x @ self.c[self.entries].T)
+        d = 1 + self.sq[ids] - 2 * x @ self.c[self.entries].T
         for _ in range(12):
-            best = np.argpartition(d, min(width, d.shape[1] - 1), axis=1)[:, :width]
+            best = np.argpartition(d, min(width, d.shape[1]) - 1, axis=1)[:, :width]
             ids, d = np.take_along_axis(ids, best, 1), np.take_along_axis(d, best, 1)
             front = np.take_along_axis(ids, np.argsort(d, axis=1)[:, :8], 1)
             new = np.sort(np.concatenate([ids, self.edges[front].reshape(len(x), -1)], 1), axis=1)
-            far = np.maximum(0, 1 + self.sq[new] - 2 * np.einsum("bd,bmd->bm", x, self.c[new]))
+            far = 1 + self.sq[new] - 2 * np.einsum("bd,bmd->bm", x, self.c[new])
             far[:, 1:][new[:, 1:] == new[:, :-1]] = np.inf
             done = np.array_equal(np.sort(d, 1)[:, :8], np.sort(far, 1)[:, :8])
             ids, d = new, far
@@ -80,24 +104,27 @@ class Centroids:
 
 
 def places(x: np.ndarray, index: Centroids, reach: float, probe: float, replicate: float):
-    """((vector, list, ring) of the members, the same of the queries) for unit vectors x.
+    """((vector, list, centroid, ring) of the members, (vector, list) of the queries) for unit vectors x.
 
-    A member lies in its nearest list, and on a boundary also in every list whose centroid is at most ``replicate``
-    farther.  A query looks into the lists whose centroid is at most ``probe`` farther than the nearest one and, of
-    those, into the rings that a vector within ``reach`` of it can lie in (exact, by the triangle inequality).
+    A member lies in the list of its nearest centroid, and on a boundary also in those of every centroid that is at
+    most ``replicate`` farther.  A query looks into the lists of the centroids that are at most ``probe`` farther than
+    the nearest one (and SLACK in squared distance, so that a vector far from all centroids doesn't look everywhere),
+    but not where no ring has members that can lie within ``reach`` of it (exact, by the triangle inequality).
     """
     ids, sq = index.near(x)
-    d = np.sqrt(sq)
-    d1 = d.min(1, keepdims=True)
-    mi, mj = np.nonzero(d <= d1 * (1 + replicate))
-    members = mi, ids[mi, mj], np.minimum(15, d[mi, mj] / RING).astype("i8")
-    qi, qj = np.nonzero(d <= d1 * (1 + probe))
-    dq = d[qi, qj]
-    lo, hi = np.maximum(0, (dq - reach) / RING - 1e-3).astype("i8"), np.minimum(15, (dq + reach) / RING + 1e-3).astype("i8")
-    n = hi - lo + 1
-    k = np.repeat(np.arange(len(qi)), n)
-    ring = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(len(k)) if len(k) else k
-    return members, (qi[k], ids[qi, qj][k], ring)
+    d1 = np.maximum(1e-12, sq.min(1, keepdims=True))
+    number = (lambda i, j: j) if ids is None else (lambda i, j: ids[i, j])
+    mi, mj = np.nonzero(sq <= d1 * (1 + replicate) ** 2)
+    mc = number(mi, mj)
+    ring = np.minimum(RINGS - 1, np.sqrt(np.maximum(0, sq[mi, mj])) / RING).astype("i8")
+    qi, qj = np.nonzero(sq <= np.minimum(d1 * (1 + probe) ** 2, d1 + SLACK))
+    qc, d = number(qi, qj), np.sqrt(np.maximum(0, sq[qi, qj]))
+    lo = np.minimum(RINGS - 1, np.maximum(0, (d - reach) / RING - 1e-3)).astype("i8")
+    hi = np.minimum(RINGS - 1, (d + reach) / RING + 1e-3).astype("i8") + 1
+    ok = index.occupied[qc, hi] > index.occupied[qc, lo]
+    n = len(index.c)
+    q = np.unique(qi[ok] * n + index.lists[qc[ok]])
+    return (mi, index.lists[mc], mc, ring), (q // n, q % n)
 
 
 def nearest(points: DataFrame, scratch: Scratch, k: int = 5, min_cosine: float = -1.0, probe: float = PROBE) -> DataFrame:
@@ -113,46 +140,50 @@ def nearest(points: DataFrame, scratch: Scratch, k: int = 5, min_cosine: float =
     s = sample(points, n)
     if not len(s):
         return spark.createDataFrame([], "id long, near array<struct<far:double,id:long>>")
-    index = Centroids(balanced_centroids(s, max(8, LIST_SIZE * len(s) // n)))
+    c = balanced_centroids(s, max(PART, math.ceil(len(s) / 65_536)))
+    index = Centroids(c, np.zeros(len(c), "i8"))
+    ids, sq = index.near(s)
+    nearest_c = sq.argmin(1) if ids is None else ids[np.arange(len(s)), sq.argmin(1)]
+    lists = joined(c, np.bincount(nearest_c, minlength=len(c)) * (n / len(s)))
     reach = math.sqrt(max(0.0, 2 - 2 * min_cosine)) + 1e-3
-    sent = spark.sparkContext.broadcast(pickle.dumps((index.c,)))
+    sent = spark.sparkContext.broadcast(pickle.dumps((c, lists)))
 
-    def placed(batches: Iterator[pa.RecordBatch]):
-        index = Centroids(*pickle.loads(sent.value))
+    def placed(batches: Iterator[pa.RecordBatch], occupied: np.ndarray | None = None):
+        index = Centroids(*pickle.loads(sent.value), occupied)
         for b in batches:
-            step = 2048 if index.complete else 256
+            step = 1024 if index.complete else 256
             for lo in range(0, b.num_rows, step):
                 part = b.slice(lo, step)
                 yield part, places(unit(unpacked(part.column(1))), index, reach, probe, REPLICATE)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, roles in placed(batches):
-            for role, (_, lists, rings) in enumerate(roles):
-                key, m = np.unique(lists * 16 + rings, return_counts=True)
-                yield pa.record_batch({"key": pa.array(key), "role": pa.array([role] * len(key), pa.int32()), "m": pa.array(m)})
-
-    sizes = points.mapInArrow(count, "key long, role int, m long").groupBy("key").agg(F.sum(F.when(F.col("role") == 0, F.col("m")).otherwise(0)).alias("members"), F.sum(F.when(F.col("role") == 1, F.col("m")).otherwise(0)).alias("queries"))
-    # At most 16 rows for each centroid, of which there are fewer than vectors in the sample.
-    parts = {r.key: (math.ceil(r.members / TASK_MEMBERS), math.ceil(r.queries / TASK_QUERIES)) for r in sizes.where("members > 0 and queries > 0").collect()}
-    keys = np.array(sorted(parts), "i8")
-    split = np.array([parts[x] for x in keys.tolist()], "i8").reshape(-1, 2)
-    layout = spark.sparkContext.broadcast(pickle.dumps((keys, split)))
+        for _, ((_, of, cs, rings), (_, to)) in placed(batches):
+            for role, key in enumerate((of, to, cs * RINGS + rings)):
+                k, m = np.unique(key, return_counts=True)
+                yield pa.record_batch({"role": pa.array([role] * len(k), pa.int32()), "key": pa.array(k), "m": pa.array(m)})
+
+    # At most 18 rows for each centroid, of which there are fewer than vectors in the sample.
+    sizes = points.mapInArrow(count, "role int, key long, m long").groupBy("role", "key").agg(F.sum("m").alias("m")).toArrow()
+    role, key, m = (sizes[x].to_numpy() for x in ("role", "key", "m"))
+    split = np.ones((len(c), 2), "i8")
+    for r, most in enumerate((TASK_MEMBERS, TASK_QUERIES)):
+        split[key[role == r], r] = -(-m[role == r] // most)
+    occupied = np.zeros(len(c) * RINGS, bool)
+    occupied[key[role == 2]] = True
+    layout = spark.sparkContext.broadcast(pickle.dumps((occupied.reshape(-1, RINGS), split)))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, split = pickle.loads(layout.value)
-        for b, roles in placed(batches):
+        occupied, split = pickle.loads(layout.value)
+        for b, ((mw, of, _, _), (qw, to)) in placed(batches, occupied):
             ids = b.column(0).to_numpy()
-            for role, (who, lists, rings) in enumerate(roles):
-                key = lists * 16 + rings
-                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                ok = keys[at] == key
-                who, key, at = who[ok], key[ok], at[ok]
-                own, other = split[at, role], split[at, 1 - role]
+            one = np.unique(mw * len(split) + of)
+            for role, (who, key) in enumerate(((one // len(split), one % len(split)), (qw, to))):
+                own, other = split[key, role], split[key, 1 - role]
                 mine = (ids[who].astype("u8") * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype("i8") % own
                 r = np.repeat(np.arange(len(who)), other)
                 theirs = np.arange(len(r)) - np.repeat(np.r_[0, np.cumsum(other)[:-1]], other) if len(r) else r
                 ms, qs = (mine[r], theirs) if role == 0 else (theirs, mine[r])
-                task = (key[r] << 24) + (ms << 12) + qs
+                task = (key[r] << 40) + (ms << 20) + qs
                 if len(r):
                     yield pa.record_batch([pa.array(task), pa.array([bool(role)] * len(r)), pa.array(ids[who[r]]), b.column(1).take(pa.array(who[r]))], names=["task", "query", "id", "v"])
 
