@@ -1,8 +1,8 @@
 """The queries of this subpackage and their SQL."""
 
-from lexigraph.llm import clusters, components, copies, frequencies, leaks, mixing, neighbors, repetition, together
+from lexigraph.llm import clusters, components, copies, entities, frequencies, leaks, mixing, neighbors, repetition, together
 
-MODULES = (clusters, copies, components, frequencies, together, leaks, mixing, repetition, neighbors)
+MODULES = (clusters, entities, copies, components, frequencies, together, leaks, mixing, repetition, neighbors)
 
 
 def queries() -> dict:
