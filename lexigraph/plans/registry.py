@@ -1,8 +1,8 @@
 """The core queries and their SQL."""
 
-from lexigraph.plans import relational, texts
+from lexigraph.plans import graphs, relational, texts
 
-MODULES = [relational, texts]
+MODULES = [graphs, relational, texts]
 
 
 def queries() -> dict:
