@@ -1,8 +1,8 @@
 """The core queries and their SQL."""
 
-from lexigraph.plans import graphs, relational, texts
+from lexigraph.plans import graphs, partitions, relational, texts
 
-MODULES = [graphs, relational, texts]
+MODULES = [graphs, partitions, relational, texts]
 
 
 def queries() -> dict:
