@@ -84,7 +84,7 @@ def reassigned_outliers(membership: DataFrame, edges: DataFrame, most: float = 0
 
     n = graph.both_ways(edges).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("other", "weight"))).alias("e"))
     rows = membership.join(n, "node", "left").select("node", "community", F.coalesce(F.col("e.other"), F.array().cast("array<long>")).alias("others"), F.coalesce(F.col("e.weight"), F.array().cast("array<double>")).alias("weights"))
-    return rows.groupBy(F.lit(0)).applyInPandas(lambda pdf: task(pdf), "node long, community long")
+    return rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(lambda pdf: task(pdf), "node long, community long")
 
 
 def super_clusters(cents: DataFrame, scratch: Scratch, resolution: float = 0.1, k: int = 8, least: float = 0.3) -> DataFrame:
