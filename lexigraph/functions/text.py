@@ -96,7 +96,7 @@ def unwrap_topic(c: Column) -> Column:
 def json_in_text(c: Column) -> Column:
     """The first reading that is JSON: the whole text, a fenced block, the outermost braces; else null."""
     fenced, braces = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1), F.regexp_extract(c, r"(?s)(\{.*\})", 1)
-    ok = lambda x: F.when((F.trim(x) != "") & F.try_parse_json(x).isNotNull(), F.trim(x))
+    ok = lambda x: F.when((strip(x) != "") & F.try_parse_json(x).isNotNull(), strip(x))
     return F.coalesce(ok(c), ok(fenced), ok(braces))
 
 

@@ -140,6 +140,7 @@ def communities(edges: DataFrame, scratch: Scratch, resolution: float = 0.001, k
     Communities don't span components, so each component is a task of its own; the components too large for one task
     go through distributed rounds of local moves.  Modularity gets the weight of the whole graph.
     """
+    scratch = scratch.fresh()
     e = scratch.put("comm_edges", edges.select("src", "dst", "weight"))
     comp = components(e, scratch)
     placed = scratch.put("comm_placed", e.join(comp.select(F.col("node").alias("src"), "component"), "src"))
@@ -169,6 +170,7 @@ def sweep(edges: DataFrame, scratch: Scratch, low: float, high: float, n: int, s
     """
     grid = log_grid(low, high, n)
     spark = edges.sparkSession
+    scratch = scratch.fresh()
     e = scratch.put("sweep_edges", edges.select("src", "dst", "weight"))
     total = e.agg(F.sum("weight")).first()[0] or 0.0
     comp = components(e, scratch)
@@ -254,6 +256,7 @@ def recluster(edges: DataFrame, membership: DataFrame, scratch: Scratch, least:
 
     The parts get numbers after the greatest one; the largest is numbered first.
     """
+    scratch = scratch.fresh()
     m = scratch.put("re_members", membership.select("node", "community"))
     mega = m.groupBy("community").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("community")
     inside = m.join(mega, "community")

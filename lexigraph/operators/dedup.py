@@ -16,6 +16,7 @@ def duplicate_groups(vectors: DataFrame, topics: DataFrame, topic_books: DataFra
     Pairs of at least ``sure`` merge, pairs between ``threshold`` and that only if the topics share a book.  The
     canonical topic is the one with most occurrences, the smaller id among equals.
     """
+    scratch = scratch.fresh()
     p = scratch.put("pairs", similar_pairs(vectors, threshold))
     maybe = p.where(F.col("cosine") < sure)
     tb = topic_books.select("topic_id", "book_id").distinct()

@@ -89,6 +89,7 @@ def reassigned_outliers(membership: DataFrame, edges: DataFrame, most: float = 0
 
 def super_clusters(cents: DataFrame, scratch: Scratch, resolution: float = 0.1, k: int = 8, least: float = 0.3) -> DataFrame:
     """(id, domain) by Leiden on the graph of clusters, outliers reassigned; clusters without an edge stand alone."""
+    scratch = scratch.fresh()
     c = scratch.put("centroids", cents)
     e = scratch.put("cluster_edges", cluster_graph(c, k, least))
     m = community.communities(e, scratch, resolution)

@@ -33,6 +33,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
     Minimum labels with shortcuts, each round written to the shared folder; logarithmically many rounds on chains.
     """
+    scratch = scratch.fresh()
     e = edges.select("src", "dst").where("src <> dst")
     both = scratch.put("cc_edges", e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     labels = scratch.put("cc_labels", both.select(F.col("src").alias("node"), F.col("src").alias("component")).distinct())

@@ -61,6 +61,10 @@ class Scratch:
             drop_path(self.spark, old)
         return self.spark.read.schema(schema).parquet(path)
 
+    def fresh(self) -> Scratch:
+        """Another set of tables: for an operator whose result is read later, whatever its caller puts next."""
+        return Scratch(self.spark)
+
     def drop(self, *names: str) -> None:
         for n in names:
             if n in self.paths:
