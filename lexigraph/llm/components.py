@@ -19,6 +19,7 @@ def boruvka(edges: DataFrame, scratch: Scratch) -> DataFrame:
     and deduplication combine before they shuffle; hot keys in the joins are left to Spark's adaptive skew join.
     Every round ends in a written table, none in the driver's memory.
     """
+    scratch = scratch.fresh()
     e = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a is not null and b is not null and a <> b").distinct()
     e = scratch.put("edges", e)
     members = None  # (node, root): each node with the component that it has been merged into
@@ -43,7 +44,7 @@ def boruvka(edges: DataFrame, scratch: Scratch) -> DataFrame:
         e = scratch.put("edges", e.join(ra, "a").join(rb, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
     scratch.drop("edges", "hooks", "tree")
     if members is None:
-        return e.select(F.col("a").alias("node"), F.col("b").alias("group_id"))
+        return scratch.spark.createDataFrame([], "node long, group_id long")
     firsts = members.groupBy("root").agg(F.min("node").alias("group_id"))
     return members.join(firsts, "root").select("node", "group_id")
 

@@ -65,6 +65,17 @@ def joined(c: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return lists
 
 
+def spread_out(c: np.ndarray, n: int) -> np.ndarray:
+    """n centroids, each the farthest from those before it, so that every region has an entry."""
+    out, sq = [0], (c * c).sum(1)
+    far = sq + sq[0] - 2 * c @ c[0]
+    while len(out) < min(n, len(c)):
+        i = int(far.argmax())
+        out.append(i)
+        far = np.minimum(far, sq + sq[i] - 2 * c @ c[i])
+    return np.array(out)
+
+
 class Centroids:
     """The centroids, the posting list of each, and a graph of their nearest ones, searched from a few entries along
     its edges.  Up to COMPLETE centroids the graph is complete, so the search is one matrix product.
@@ -78,7 +89,7 @@ class Centroids:
         self.complete = len(c) <= COMPLETE
         if not self.complete:
             self.edges = np.concatenate([np.argpartition(self.sq - 2 * c[i : i + 512] @ c.T, degree, axis=1)[:, : degree + 1] for i in range(0, len(c), 512)])
-            self.entries = np.linspace(0, len(c) - 1, int(len(c) ** 0.5)).astype("i8")
+            self.entries = spread_out(c, 2 * math.ceil(len(c) ** 0.5))
 
     def near(self, x: np.ndarray, width: int = 64) -> tuple[np.ndarray | None, np.ndarray]:
         """(centroid numbers, squared distances), a row for each vector; without numbers, of every centroid in order.
@@ -244,6 +255,7 @@ def neighbor_pairs(points: DataFrame, scratch: Scratch, k: int, min_cosine: floa
 
     Copies are looked up once for each class: a point's classmates come first, of each class met the smallest ids.
     """
+    scratch = scratch.fresh()
     single, members = copy_classes(points, scratch, k)
     near = scratch.put("near", nearest(single, scratch, k, min_cosine, probe))
     if members.isEmpty():
