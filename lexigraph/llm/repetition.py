@@ -290,9 +290,17 @@ def perplexities(docs: DataFrame, scratch: Scratch, lower: float = LOWER, upper:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents low in their language's perplexity band (or too short for it) in which the repeated share is 0.3."""
+    """Documents low in the perplexity band, or too short for one, whose repeated share is 0.3 or more.
+
+    As languages are partly named wrong, a document is cleared only above the lower bound of its own language and of
+    every language that holds a hundredth of the documents.
+    """
     p = perplexities(table(spark, sf_dir, "documents"), Scratch(spark))
-    return p.where((F.col("perplexity").isNull() | (F.col("perplexity") <= F.col("low"))) & (F.col("n_repeated") >= LEAST_SHARE * F.col("n_words")) & (F.col("n_repeated") > 0)).select("doc_id")
+    bounds = p.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.max("low").alias("low"))
+    whole = bounds.agg(F.sum("n")).first()[0] or 0
+    clear = bounds.where(F.col("n") * 100 >= whole).agg(F.coalesce(F.max("low"), F.lit(0.0))).first()[0]
+    low = F.col("perplexity").isNull() | (F.col("perplexity") <= F.greatest("low", F.lit(clear)))
+    return p.where(low & (F.col("n_repeated") >= LEAST_SHARE * F.col("n_words")) & (F.col("n_repeated") > 0)).select("doc_id")
 
 
 def p10_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
