@@ -212,6 +212,12 @@ def s24(spark, sf):
     return tables.first_wins(t, raw, ["label"])
 
 
+def a30(spark, sf):
+    """How well the topics of even and odd ids cover each other."""
+    v = vectors(spark, sf)
+    return rounded(similarity.set_overlap(v.where("id % 2 = 0"), v.where("id % 2 = 1")), "precision", "recall", "f1")
+
+
 _U = "CAST(embedding AS DOUBLE[]) v FROM topics WHERE len(embedding) = 96 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))"
 BASE = f"""{model(DUCK)}, vec AS (SELECT id, {_U}), n AS (SELECT count(DISTINCT chunk_id) n FROM lk), o AS (SELECT topic_id t, count(*) k FROM lk GROUP BY 1),
 pc AS (SELECT a.topic_id a, b.topic_id b, count(*) c FROM lk a JOIN lk b ON a.chunk_id = b.chunk_id AND a.topic_id < b.topic_id GROUP BY 1, 2),
@@ -236,7 +242,7 @@ QUERIES = {
     "g01_cooccurrence": g01, "g02_full_graph": g02, "g03_cooccurrence_graph": lambda s, d: rounded(cooc_edges(s, d)), "g04_knn_graph": lambda s, d: rounded(g04_edges(s, d)), "g05_graph_stats": g05, "g06_related_topics": g06,
     "g07_hub_diagnosis": g07, "g08_hubs": g08, "g09_hub_assignment": g09, "g10_hub_memberships": g10, "g14_components": g14, "g15_duplicate_groups": g15, "g17_merged_links": g17, "g18_merge_preview": g18, "g27_backbone": g27, "g28_participation": g28,
     "j05_similar_pairs": j05, "j06_nearest_neighbours": j06, "q03_semantic_topics": q03, "q04_semantic_books": q04, "q05_theme_search": q05, "q12_cooccurring_topics": q12, "m02_normalized": m02, "m08_colours": m08, "m09_sphere_scale": m09,
-    "s15_author_dimension": s15, "s20_replaced_chunks": s20, "s23_upserted_pairs": s23, "s24_labels_first_wins": s24,
+    "a30_set_overlap": a30, "s15_author_dimension": s15, "s20_replaced_chunks": s20, "s23_upserted_pairs": s23, "s24_labels_first_wins": s24,
 }
 SQL = {
     "g01_cooccurrence": f"{BASE} SELECT a AS topic1_id, b AS topic2_id, c AS count, round(pmi, 6) AS pmi, coalesce(bc, 0) AS book_count FROM pm LEFT JOIN bc USING (a, b) WHERE c >= 2",
@@ -255,6 +261,7 @@ SQL = {
     "g18_merge_preview": f"{_DUP} SELECT canonical_id, tp.label, count(*) AS size FROM dp JOIN tp ON tp.id = canonical_id GROUP BY 1, 2 ORDER BY size DESC, canonical_id LIMIT 20",
     "g27_backbone": f"{BASE}, x AS (SELECT *, count(*) OVER (PARTITION BY node) k, sum(weight) OVER (PARTITION BY node) s FROM bw) SELECT DISTINCT least(node, other) AS src, greatest(node, other) AS dst, round(weight, 6) AS weight FROM x WHERE k <= 1 OR (s > 0 AND pow(1 - weight / s, k - 1) < {ALPHA})",
     "g28_participation": f"{BASE}, x AS (SELECT bw.node, c.community cc, count(*) k FROM bw JOIN cm c ON c.node = other GROUP BY 1, 2), y AS (SELECT x.node, sum(k) t, sum(k * k) sq, coalesce(sum(k) FILTER (cc = cm.community), 0) own FROM x JOIN cm ON cm.node = x.node GROUP BY 1) SELECT t.id AS node, coalesce(round(1 - CAST(sq AS DOUBLE) / (y.t * y.t), 6), 0) AS participation, coalesce(round(CAST(own AS DOUBLE) / y.t, 6), 1) AS internal FROM topics t LEFT JOIN y ON y.node = t.id",
+    "a30_set_overlap": f"{BASE}, x AS (SELECT i, max(s) b FROM sim WHERE i % 2 = 0 AND j % 2 = 1 GROUP BY 1), y AS (SELECT i, max(s) b FROM sim WHERE i % 2 = 1 AND j % 2 = 0 GROUP BY 1), z AS (SELECT (SELECT avg(b) FROM x) p, (SELECT avg(b) FROM y) r, (SELECT count(*) FROM x WHERE b > 0.8) st) SELECT round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / (p + r), 6) AS f1, st AS strong FROM z",
     "j05_similar_pairs": f"{BASE} SELECT i AS id1, j AS id2, round(s, 6) AS cosine FROM sim WHERE i < j AND s >= {FULL}",
     "j06_nearest_neighbours": f"{BASE} SELECT i AS id, j AS other, round(s, 6) AS cosine, place FROM knn WHERE place <= {KNN}",
     "q03_semantic_topics": f"{BASE}, {_TOP % 20} SELECT top.id, label, round(s, 6) AS similarity FROM top JOIN topics t ON t.id = top.id",

@@ -41,6 +41,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def rename_path(spark: SparkSession, path: str, to: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    if not p(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(p(path), p(to)):
+        raise OSError(f"cannot rename {path}")
+
+
 class Scratch:
     """Intermediate tables of one operator run, as Parquet in the shared folder.
 

@@ -243,3 +243,19 @@ def test_streams(spark, tmp_path):
 def test_every_query_has_a_name_of_its_own():
     q = registry.queries()
     assert set(registry.oracle_sql()) <= set(q) and len(q) > 100
+
+
+def test_refreshed_statistics(spark, tmp_path):
+    from lexigraph.plans import statistics
+
+    data = "/root/testdata/sf0.001"
+    if not __import__("os").path.exists(data):
+        pytest.skip("no test tables")
+    r = {x.table: x.rows for x in statistics.refresh(spark, data, str(tmp_path)).collect()}
+    assert set(r) == set(statistics.STATISTICS) and r["cluster_books"] == spark.read.parquet(f"{tmp_path}/cluster_books.parquet").count() > 0
+
+
+def test_set_overlap_of_nothing(spark):
+    e = spark.createDataFrame([], "id long, v array<double>")
+    a = spark.createDataFrame([(1, [1.0, 0.0])], "id long, v array<double>")
+    assert similarity.best_matches(e, a).count() == 0 and similarity.set_overlap(a, a).first().f1 == pytest.approx(1)
