@@ -115,7 +115,7 @@ Q["a06_relevance"] = lambda d: model(d) + "SELECT cluster_id, book_id, round(sco
 Q["a07_status"] = lambda d: model(d) + "SELECT (SELECT count(*) FROM books) AS books, (SELECT count(*) FROM chunks) AS chunks, (SELECT count(DISTINCT book_id) FROM chunks) AS indexed_books, (SELECT count(*) FROM topics) AS topics, (SELECT count(*) FROM topics WHERE embedding IS NOT NULL) AS embedded, (SELECT count(*) FROM lk) AS links, (SELECT count(DISTINCT topic) FROM chunk_topics) AS raw_topics"
 Q["a11_occurrence_recount"] = lambda d: model(d) + "SELECT id, occ FROM tp"
 Q["a12_topics_of_book"] = lambda d: "SELECT c.book_id, x.topic, count(*) AS n FROM (SELECT DISTINCT chunk_id, topic FROM chunk_topics) x JOIN chunks c ON c.id = x.chunk_id WHERE c.book_id = 1 GROUP BY c.book_id, x.topic"
-Q["a13_clusters_of_book"] = lambda d: model(d) + f"SELECT book_id, cluster_id, count(DISTINCT topic_id) AS topics, {d.joined('label', 'label')} AS labels FROM (SELECT DISTINCT book_id, cluster_id, topic_id, label FROM bt WHERE cluster_id >= 0) x WHERE book_id <= 200 GROUP BY book_id, cluster_id"
+Q["a13_clusters_of_book"] = lambda d: model(d) + f"SELECT book_id, cluster_id, count(DISTINCT topic_id) AS topics, {d.joined('label', 'label')} AS labels FROM (SELECT DISTINCT book_id, cluster_id, topic_id, label FROM bt WHERE cluster_id >= 0) x GROUP BY book_id, cluster_id"
 Q["a14_book_detail_topics"] = lambda d: model(d) + "SELECT book_id, topic_id, label, n FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY n DESC, topic_id) rn FROM (SELECT book_id, topic_id, label, count(*) n FROM bt GROUP BY book_id, topic_id, label) x) y WHERE rn <= 30"
 Q["a15_related_books"] = lambda d: model(d) + "SELECT o.book_id, count(DISTINCT o.topic_id) AS shared_topics, round(count(DISTINCT o.topic_id) / CAST((SELECT count(DISTINCT topic_id) FROM bt WHERE book_id = 106) AS DOUBLE), 3) AS similarity FROM bt o WHERE o.book_id <> 106 AND o.topic_id IN (SELECT topic_id FROM bt WHERE book_id = 106) GROUP BY o.book_id"
 Q["a18_cluster_summary"] = lambda d: model(d) + f"SELECT cluster_id, max(n) AS size, {d.joined('label', 'rn', '; ')} AS top_topics FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY occ DESC, id) rn, count(*) OVER (PARTITION BY cluster_id) n FROM tp WHERE cluster_id IS NOT NULL) x WHERE rn <= 5 GROUP BY cluster_id"

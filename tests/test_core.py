@@ -259,3 +259,18 @@ def test_set_overlap_of_nothing(spark):
     e = spark.createDataFrame([], "id long, v array<double>")
     a = spark.createDataFrame([(1, [1.0, 0.0])], "id long, v array<double>")
     assert similarity.best_matches(e, a).count() == 0 and similarity.set_overlap(a, a).first().f1 == pytest.approx(1)
+
+
+def test_clusters_of_every_book(spark, tmp_path):
+    from lexigraph.plans import relational
+
+    rows = {
+        "books": ([(7, 1), (201, 2), (90_000, None)], "id long, calibre_id long"),
+        "chunks": ([(1, 7), (2, 201), (3, 90_000)], "id long, book_id long"),
+        "chunk_topic_links": ([(1, 1), (2, 1), (2, 2), (3, 2)], "chunk_id long, topic_id long"),
+        "topics": ([(1, "a", 5, None), (2, "b", 5, None)], "id long, label string, cluster_id long, parent_topic_id long"),
+    }
+    for t in relational.TABLES:
+        spark.createDataFrame(*rows.get(t, ([], "id long"))).write.parquet(f"{tmp_path}/{t}.parquet")
+    got = relational.queries()["a13_clusters_of_book"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(7, 5, 1, "a"), (201, 5, 2, "a, b"), (90_000, 5, 1, "b")]
