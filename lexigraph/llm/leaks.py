@@ -6,7 +6,6 @@ import math
 import pickle
 from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
@@ -98,26 +97,86 @@ class ItemIndex:
             out_i.append(i[near])
         return np.concatenate(out_w), np.concatenate(out_i)
 
-    def leaked(self, item: int, words: np.ndarray) -> tuple[int, int, float]:
+    def leaked(self, item: int, words: np.ndarray, pos: np.ndarray, at: np.ndarray) -> tuple[int, int, float]:
         """(passage words, edits, weighted shingle similarity) of the longest stretch of the item's passage in the
-        words that keeps within one edit in eight words; zeros where there is none of 15 words."""
-        p, q = self.passages[item].tolist(), words.tolist()
-        runs = [m for m in SequenceMatcher(None, p, q, autojunk=False).get_matching_blocks() if m.size]
-        best = (0, 0, 0.0)
-        for i, first in enumerate(runs):
-            edits = 0
-            for j in range(i, len(runs)):
-                if j > i:
-                    edits += max(runs[j].a - runs[j - 1].a - runs[j - 1].size, runs[j].b - runs[j - 1].b - runs[j - 1].size)
-                end = runs[j].a + runs[j].size
-                m = end - first.a
-                if m >= LEAST_WORDS and edits * EDITS_PER_WORDS <= m and m > best[0]:
-                    held = {(p[x], p[x + 1]) for r in runs[i : j + 1] for x in range(r.a, r.a + r.size - 1)}
-                    all_ = set(zip(p[first.a : end - 1], p[first.a + 1 : end]))
-                    best = (m, edits, sum(self.weight[s] for s in held) / sum(self.weight[s] for s in all_))
+        words that keeps within one edit in eight words and is SIMILAR; zeros where there is none of 15 words.
+
+        ``pos`` and ``at`` are the windows that hit, in the words and in the passage.  Each leak keeps a window whole, so
+        it is enough to take every whole run that holds one and go on from both of its ends: nothing that stands
+        elsewhere in the text can hide a stretch.
+        """
+        passage = self.passages[item]
+        whole = (words[pos[:, None] + np.arange(WINDOW)] == passage[at[:, None] + np.arange(WINDOW)]).all(1)
+        p, q, best, done = passage.tolist(), words.tolist(), (0, 0, 0.0), set()
+        most = len(p) // EDITS_PER_WORDS
+        for x, i in zip(pos[whole].tolist(), at[whole].tolist()):
+            start = next((k for k in range(min(i, x)) if p[i - k - 1] != q[x - k - 1]), min(i, x))
+            if (i - start, x - i) in done:  # a run that has been taken
+                continue
+            done.add((i - start, x - i))
+            ends = i + WINDOW, x + WINDOW
+            after = reached(p[i:], q[x : x + len(p) - i + most], most)
+            before = reached(p[: ends[0]][::-1], q[max(0, ends[1] - ends[0] - most) : ends[1]][::-1], most)
+            ways = [(m + n - WINDOW, -e - f, m, y, n, z) for e, (m, y) in enumerate(after) for f, (n, z) in enumerate(before)]
+            for m, less, right, y, left, z in sorted((w for w in ways if w[0] >= LEAST_WORDS and -w[1] * EDITS_PER_WORDS <= w[0]), reverse=True):
+                if (m, less) <= (best[0], -best[1]):
+                    break
+                part = p[ends[0] - left : i + right]
+                kept = kept_shingles(part, q[ends[1] - left - z : x + right + y], -less)
+                all_ = set(zip(part[:-1], part[1:]))
+                similar = sum(self.weight[s] for s in kept) / sum(self.weight[s] for s in all_)
+                if similar >= SIMILAR:
+                    best = (m, -less, similar)
+                    break
         return best
 
 
+def reached(p: list[int], q: list[int], most: int) -> list[tuple[int, int]]:
+    """For 0 to ``most`` edits, (words of p, words of q beyond these) of the longest beginning of p that ends in a word
+    they share and is a beginning of q but for so many edits: the furthest points on the diagonals, edit by edit."""
+    same = next((i for i, (a, b) in enumerate(zip(p, q)) if a != b), min(len(p), len(q)))
+    row, out = {0: same}, [(same, 0)]
+    for e in range(1, most + 1):
+        new, best = {}, out[-1]
+        for d in range(-e, e + 1):
+            i = max(row.get(d, -2) + 1, row.get(d - 1, -1), row.get(d + 1, -2) + 1)
+            i = min(i, len(p), len(q) - d)
+            if i < 0 or i + d < 0:
+                continue
+            while i < len(p) and i + d < len(q) and p[i] == q[i + d]:
+                i += 1
+            new[d] = i
+            while i > best[0] and (i + d <= 0 or p[i - 1] != q[i + d - 1]):
+                i -= 1
+            if i > best[0]:
+                best = (i, d)
+        row = new
+        out.append(best)
+    return out
+
+
+def kept_shingles(p: list[int], q: list[int], edits: int) -> set[tuple[int, int]]:
+    """The two-word shingles of p that an alignment with q of at most so many edits leaves whole."""
+    cost = [[edits + 1] * (len(q) + 1) for _ in range(len(p) + 1)]
+    for i in range(len(p) + 1):
+        for j in range(max(0, i - edits), min(len(q), i + edits) + 1):
+            if not i or not j:
+                cost[i][j] = i + j
+            else:
+                cost[i][j] = cost[i - 1][j - 1] if p[i - 1] == q[j - 1] else 1 + min(cost[i - 1][j - 1], cost[i - 1][j], cost[i][j - 1])
+    i, j, out, last = len(p), len(q), set(), False
+    while i and j:
+        if p[i - 1] == q[j - 1]:
+            i, j = i - 1, j - 1
+            if last:
+                out.add((p[i], p[i + 1]))
+            last = True
+        else:
+            last = False
+            _, i, j = min((cost[i - 1][j - 1], i - 1, j - 1), (cost[i - 1][j], i - 1, j), (cost[i][j - 1], i, j - 1))
+    return out
+
+
 def stock_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         hashes, starts, _, _ = word_lists(b.column(0), markup=True)
@@ -165,13 +224,9 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                     for s, e in zip(new, np.r_[new[1:], len(pos)]):
                         if e - s < 2:  # a leak keeps at least two windows whole
                             continue
-                        d, best = doc[s], (0, 0, 0.0)
-                        room = len(ix.passages[item[s]]) * 9 // 8 + 2  # an item-sized stretch either way
-                        far = np.flatnonzero(np.diff(pos[s:e]) > room) + 1
-                        for x, y in zip(np.r_[s, s + far], np.r_[s + far, e]):
-                            if y - x >= 2:
-                                best = max(best, ix.leaked(item[s], hashes[max(starts[d], pos[x] - room) : min(starts[d + 1], pos[y - 1] + WINDOW + room)]))
-                        if best[0] and best[2] >= SIMILAR:
+                        d = doc[s]
+                        best = ix.leaked(item[s], hashes[starts[d] : starts[d + 1]], pos[s:e] - starts[d], j[s:e])
+                        if best[0]:
                             rows.append((b.column(0)[int(d)].as_py(), ix.ids[item[s]], *best))
                     if rows:
                         yield pa.record_batch([pa.array(c) for c in zip(*rows)], names=["doc_id", "item_id", "words", "edits", "similarity"])

@@ -54,6 +54,54 @@ def test_leaks(spark):
     assert got == {(1, 0), (2, 1), (3, 2), (4, 3), (4, 52), (11, 6)}
 
 
+def test_leak_beside_longer_run_of_a_later_part(spark):
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(60)]
+    edited = passage[:24]
+    edited[6], edited[12], edited[18] = "x1", "x2", "x3"
+    doc = passage[40:52] + [f"f{i}" for i in range(20)] + edited
+    docs = spark.createDataFrame([(1, " ".join(doc)), (2, " ".join(edited)), (3, " ".join(passage[40:52] + sentence(rng, 20)))], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(passage))], "item_id long, text string")
+    assert {(r.doc_id, r.words, r.edits) for r in leaks.find_leaks(docs, items).collect()} == {(1, 24, 3), (2, 24, 3)}
+
+
+def plain_longest(p, q):
+    """The longest stretch by the whole table of edit distances from every start."""
+    best = 0
+    for a in range(len(p)):
+        for c in range(len(q)):
+            if p[a] != q[c]:
+                continue
+            row = list(range(len(q) - c + 1))
+            for i in range(1, len(p) - a + 1):
+                new = [i]
+                for k in range(1, len(row)):
+                    same = p[a + i - 1] == q[c + k - 1]
+                    new.append(min(row[k - 1] + (not same), row[k] + 1, new[-1] + 1))
+                    if same and i >= leaks.LEAST_WORDS and new[k] * leaks.EDITS_PER_WORDS <= i:
+                        best = max(best, i)
+                row = new
+    return best
+
+
+def test_longest_stretch_against_all_alignments():
+    rng = random.Random(9)
+    for n in range(40):
+        p = [rng.randrange(30) for _ in range(36)]
+        q = []
+        for _ in range(3):  # parts of the passage in any order, edited
+            lo = rng.randrange(20)
+            for w in p[lo : lo + rng.randrange(8, 30)]:
+                r = rng.random()
+                q += [w] if r > 0.12 else [99] if r > 0.08 else [98, w] if r > 0.04 else []
+            q += [100 + rng.randrange(50) for _ in range(4)]
+        ix = leaks.ItemIndex.__new__(leaks.ItemIndex)
+        ix.passages, ix.weight = [np.array(p, "u8")], {s: 1.0 for s in zip(p[:-1], p[1:])}
+        hits = [(x, i) for x in range(len(q) - 4) for i in range(len(p) - 4) if q[x : x + 5] == p[i : i + 5]]
+        pos, at = np.array(hits, "i8").reshape(-1, 2).T
+        assert ix.leaked(0, np.array(q, "u8"), pos, at)[0] == plain_longest(p, q)
+
+
 def test_items_in_several_blocks(spark, monkeypatch):
     docs, items = leak_tables(spark)
     monkeypatch.setattr(leaks, "ITEMS_AT_ONCE", 3)
