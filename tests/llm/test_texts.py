@@ -244,3 +244,28 @@ def test_works_in_two_catalogues(spark, scratch):
 def test_no_works(spark, scratch):
     b, k = spark.createDataFrame([], BOOKS), spark.createDataFrame([], CATALOGUE)
     assert entities.matches(b, k, scratch).count() == 0
+
+
+def test_candidates_are_all_pairs_of_enough_cosine(spark, scratch):
+    rng = np.random.default_rng(4)
+    vectors, weight = rng.standard_normal((entities.BUCKETS, entities.DIMS)), rng.random(entities.BUCKETS) + 0.5
+    rows = [(side, i, sorted(map(int, rng.choice(60, 6, replace=False)))) for side in (0, 1) for i in range(300)]
+    tokens = spark.createDataFrame(rows, "side int, id long, tokens array<int>")
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    normal = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = normal(np.array([(unit[t] * weight[t][:, None]).sum(0) for _, _, t in rows]))
+    y = x - x.mean(0)
+    common = np.linalg.svd(y, full_matrices=False)[2][: entities.COMMON]
+    y = normal(y - y @ common.T @ common)
+    s = y[:300] @ y[300:].T
+    got = {(r.book_id, r.calibre_row_id) for r in entities.candidates(tokens, vectors, weight, scratch, block=100).collect()}
+    pairs = lambda least: set(map(tuple, np.argwhere(s >= least).tolist()))
+    assert pairs(entities.LEAST_COSINE + 1e-4) <= got <= pairs(entities.LEAST_COSINE - 1e-4) and len(got) > 100
+
+
+def test_walks_through_tokens_of_a_share_of_the_records(spark):
+    rows = [(i % 2, i, [i % 10, 100 + i]) for i in range(12_000)]  # each of ten tokens in 1,200 records
+    tokens = spark.createDataFrame(rows, "side int, id long, tokens array<int>")
+    counts = tokens.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    w = entities.walks(tokens, counts, 0).collect()
+    assert len(w) == 12_000 and all(r.here[0] == r.there[0] for r in w)
