@@ -59,9 +59,10 @@ def local_moves(adj: list[dict[int, float]], mass: list[float], of: list[int], p
     return moved
 
 
-def leiden(nodes: list[int], edges: list[tuple[int, int, float]], resolution: float, kind: str = "cpm", total_weight: float | None = None, seed: int = 42) -> dict[int, int]:
+def leiden(nodes: list[int], edges: list[tuple[int, int, float]], resolution: float, kind: str = "cpm", total_weight: float | None = None, seed: int = 42, masses: dict[int, float] | None = None) -> dict[int, int]:
     """{node: community} by local moves, refinement and aggregation.  ``kind``: 'cpm' or 'modularity', which needs the
-    weight of the whole graph.  The same seed gives the same result."""
+    weight of the whole graph.  With ``masses`` the nodes stand for many, and the resolution is the penalty of a pair
+    of masses.  The same seed gives the same result."""
     nodes = sorted(nodes)
     number = {v: i for i, v in enumerate(nodes)}
     adj: list[dict[int, float]] = [{} for _ in nodes]
@@ -70,7 +71,9 @@ def leiden(nodes: list[int], edges: list[tuple[int, int, float]], resolution: fl
         adj[i][j] = adj[i].get(j, 0.0) + w
         if i != j:
             adj[j][i] = adj[j].get(i, 0.0) + w
-    if kind == "cpm":
+    if masses is not None:
+        mass, penalty = [masses[v] for v in nodes], resolution
+    elif kind == "cpm":
         mass, penalty = [1.0] * len(nodes), resolution
     else:
         mass = [sum(a.values()) for a in adj]
@@ -109,36 +112,77 @@ def numbered(labels: DataFrame) -> DataFrame:
     return labels.join(order, "label").select("node", "community")
 
 
-def moved_in_rounds(edges: DataFrame, resolution: float, scratch: Scratch, rounds: int = 20) -> DataFrame:
-    """(node, label) by synchronous local moves as joins, for components too large for one task (CPM).
+def moved_in_rounds(edges: DataFrame, mass: DataFrame, penalty: float, scratch: Scratch) -> DataFrame:
+    """(node, label) by synchronous local moves as joins, from every node alone until no node gains by a move.
 
-    In each round, half of the nodes (by hash) may move to the neighbouring community of greatest gain.
+    In each round half of the nodes, others each time, may move to the neighbouring community of greatest gain.  Moves
+    made at once can undo each other: when three rounds bring no better quality, the best labels so far count.
     """
-    both = scratch.put("big_edges", both_ways(edges))
-    labels = scratch.put("big_labels", both.select("node").distinct().select("node", F.col("node").alias("label")))
-    for r in range(rounds):
-        size = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    both = scratch.put("big_both", both_ways(edges))
+    labels = mass.select("node", "mass", F.col("node").alias("label"))
+    top, worse, r = -math.inf, 0, 0
+    while True:
+        size = labels.groupBy("label").agg(F.sum("mass").alias("held"))
         near = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node", "label").agg(F.sum("weight").alias("w"))
-        own = labels.select("node", F.col("label").alias("own"))
+        own = labels.select("node", "mass", F.col("label").alias("own"))
         stay = own.select("node", F.col("own").alias("label"), F.lit(0.0).alias("w"))
         g = near.unionByName(stay).groupBy("node", "label").agg(F.sum("w").alias("w")).join(own, "node").join(size, "label")
-        gain = F.col("w") - resolution * (F.col("n") - F.when(F.col("label") == F.col("own"), 1).otherwise(0))
-        best = g.groupBy("node").agg(F.max(F.struct(F.round(gain, 9).alias("g"), (F.col("label") == F.col("own")).alias("s"), (-F.col("label")).alias("l"))).alias("b"))
-        turn = F.pmod(F.xxhash64("node"), F.lit(2)) == r % 2
-        new = labels.join(best, "node").select("node", F.when(turn, -F.col("b.l")).otherwise(F.col("label")).alias("label"), (turn & (-F.col("b.l") != F.col("label"))).alias("moved"))
-        labels = scratch.put("big_labels", new)
-        still = labels.where("moved").isEmpty()
-        labels = labels.select("node", "label")
-        if still and r % 2:
-            break
-    return labels
+        is_own = F.col("label") == F.col("own")
+        gain = F.col("w") - penalty * F.col("mass") * (F.col("held") - F.when(is_own, F.col("mass")).otherwise(0))
+        best = g.groupBy("node").agg(F.max(F.struct(F.round(gain, 9).alias("g"), is_own.alias("s"), (-F.col("label")).alias("l"))).alias("b"), F.max(F.when(is_own, F.struct("own", "mass", "w", "held"))).alias("o"))
+        state = scratch.put("big_state", best.select("node", F.col("o.own").alias("label"), F.col("o.mass").alias("mass"), F.col("o.w").alias("w"), F.col("o.held").alias("held"), (-F.col("b.l")).alias("to")))
+        a = state.agg(F.count_if(F.col("to") != F.col("label")).alias("wish"), F.sum(F.col("w") - penalty * F.col("mass") * F.col("held")).alias("q")).first()
+        if not a.wish:
+            return scratch.put("big_best", state.select("node", "label"))
+        if a.q > top + 1e-9:
+            top, worse, found = a.q, 0, scratch.put("big_best", state.select("node", "label"))
+        else:
+            worse += 1
+            if worse == 3:
+                return found
+        turn = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0
+        labels = state.select("node", "mass", F.when(turn, F.col("to")).otherwise(F.col("label")).alias("label"))
+        r += 1
+
+
+def leiden_by_levels(edges: DataFrame, mass: DataFrame, penalty: float, scratch: Scratch, seed: int, task_edges: int) -> DataFrame:
+    """(node, label) for components too large for one task: local moves in rounds, communities that have come apart
+    divided, and the graph of the communities again in the same way, until it fits in a task, where Leiden goes on, or
+    no two join.  ``mass`` (node, mass): what a pair is charged ``penalty`` for."""
+    edges, mass = scratch.put("big_edges", edges), scratch.put("big_mass", mass)
+    held = scratch.put("big_held", mass.select("node", F.col("node").alias("label")))  # node -> its vertex
+    while True:
+        count = edges.count()
+        if count <= task_edges:
+            e = edges.join(mass.select(F.col("node").alias("src"), F.col("mass").alias("ms")), "src").join(mass.select(F.col("node").alias("dst"), F.col("mass").alias("md")), "dst")
+
+            def task(pdf: pd.DataFrame) -> pd.DataFrame:
+                masses = dict(zip(pdf["src"], pdf["ms"])) | dict(zip(pdf["dst"], pdf["md"]))
+                m = leiden(list(masses), list(zip(pdf["src"], pdf["dst"], pdf["weight"])), penalty, seed=seed, masses=masses)
+                first: dict[int, int] = {}
+                for v in sorted(m):
+                    first.setdefault(m[v], v)
+                return pd.DataFrame({"label": list(m), "to": [first[c] for c in m.values()]})
+
+            new = e.groupBy(F.lit(0).alias("all")).applyInPandas(task, "label long, to long")
+            return held.join(new, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+        moved = moved_in_rounds(edges, mass, penalty, scratch)
+        inner = edges.join(moved.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(moved.select(F.col("node").alias("dst"), F.col("label").alias("b")), "dst").where("a = b").select("src", "dst")
+        vertex = scratch.put("big_vertex", moved.join(components(inner, scratch.fresh()), "node", "left").select("node", F.coalesce("component", "node").alias("vertex")))
+        held = scratch.put("big_held", held.join(vertex.withColumnRenamed("node", "label"), "label").select("node", F.col("vertex").alias("label")))
+        if vertex.where("node <> vertex").isEmpty():
+            return held
+        a, b = vertex.select(F.col("node").alias("src"), F.col("vertex").alias("a")), vertex.select(F.col("node").alias("dst"), F.col("vertex").alias("b"))
+        e = edges.join(a, "src").join(b, "dst").where("a <> b").groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("weight").alias("weight"))
+        edges = scratch.put("big_edges", e)
+        mass = scratch.put("big_mass", mass.join(vertex, "node").groupBy(F.col("vertex").alias("node")).agg(F.sum("mass").alias("mass")))
 
 
 def communities(edges: DataFrame, scratch: Scratch, resolution: float = 0.001, kind: str = "cpm", seed: int = 42, task_edges: int = TASK_EDGES) -> DataFrame:
     """(node, community) of every node with an edge, by Leiden.
 
-    Communities don't span components, so each component is a task of its own; the components too large for one task
-    go through distributed rounds of local moves.  Modularity gets the weight of the whole graph.
+    Communities don't span components, so each component is a task of its own; those too large for one task
+    are made smaller by distributed local moves and aggregation first.  Modularity gets the weight of the whole graph.
     """
     scratch = scratch.fresh()
     e = scratch.put("comm_edges", edges.select("src", "dst", "weight"))
@@ -158,7 +202,10 @@ def communities(edges: DataFrame, scratch: Scratch, resolution: float = 0.001, k
 
     labels = small.groupBy("component").applyInPandas(task, "node long, label long")
     if not big.isEmpty():
-        labels = labels.unionByName(moved_in_rounds(big.select("src", "dst", "weight"), resolution if kind == "cpm" else resolution / max(1e-12, 2 * total), scratch))
+        b = big.select("src", "dst", "weight")
+        mass = both_ways(b).groupBy("node").agg(F.lit(1.0).alias("mass") if kind == "cpm" else F.sum("weight").alias("mass"))
+        penalty = resolution if kind == "cpm" else resolution / max(1e-12, 2 * total)
+        labels = labels.unionByName(leiden_by_levels(b, mass, penalty, scratch, seed, task_edges))
     return numbered(scratch.put("comm_labels", labels))
 
 

@@ -274,3 +274,24 @@ def test_clusters_of_every_book(spark, tmp_path):
         spark.createDataFrame(*rows.get(t, ([], "id long"))).write.parquet(f"{tmp_path}/{t}.parquet")
     got = relational.queries()["a13_clusters_of_book"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [(7, 5, 1, "a"), (201, 5, 2, "a, b"), (90_000, 5, 1, "b")]
+
+
+@pytest.mark.parametrize("kind,resolution", [("cpm", 0.05), ("modularity", 1.0)])
+def test_large_components_get_the_communities_of_small_ones(spark, scratch, kind, resolution):
+    rng = random.Random(2)
+    n, size = 240, 30
+    e = {(i, j): 1.0 for i in range(n) for j in range(i + 1, n) if rng.random() < (0.25 if i // size == j // size else 0.004)}
+    e |= {(i, i + 1): 1.0 for i in range(n - 1)}
+    edges = [(i, j, w) for (i, j), w in e.items()]
+
+    def quality(m):
+        mass = [1.0] * n if kind == "cpm" else [sum(w for a, b, w in edges if v in (a, b)) for v in range(n)]
+        held = {}
+        for v, c in m.items():
+            held[c] = held.get(c, 0.0) + mass[v]
+        return sum(w for a, b, w in edges if m[a] == m[b]) - (resolution if kind == "cpm" else resolution / (2 * len(edges))) * sum(x * x for x in held.values()) / 2
+
+    df = spark.createDataFrame(edges, "src long, dst long, weight double")
+    whole = {r.node: r.community for r in community.communities(df, scratch, resolution, kind).collect()}
+    parts = {r.node: r.community for r in community.communities(df, scratch, resolution, kind, task_edges=len(edges) - 1).collect()}
+    assert set(parts) == set(range(n)) and quality(parts) >= 0.97 * quality(whole)
