@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import pickle
 from collections.abc import Iterator
@@ -238,6 +239,47 @@ def nearest(points: DataFrame, scratch: Scratch, k: int = 5, min_cosine: float =
     return g.select("id", F.slice(F.array_sort(F.array_distinct("near")), 1, k).alias("near"))
 
 
+def nearest_of_all(points: DataFrame, scratch: Scratch, k: int = 5) -> DataFrame:
+    """(id, near) as of ``nearest``, exact however far the neighbours are.
+
+    The posting lists give every point a cosine that its k-th neighbour can't be below.  Points that are far from all
+    centroids would have to look into nearly every list then, so all points are held against all others, in blocks of
+    queries that are broadcast, and only what reaches that cosine is kept.
+    """
+    first = nearest(points, scratch, k)
+    least = first.select("id", F.when(F.size("near") >= k, -F.element_at("near", k)["far"]).otherwise(-1.0).alias("least"))
+    queries = scratch.put("queries", points.join(least, "id", "left").select("id", "v", F.coalesce("least", F.lit(-1.0)).alias("least")))
+    blocks, found = math.ceil(queries.count() / TASK_QUERIES), []
+    for n in range(blocks):
+        q = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n).toArrow()
+        if not len(q):
+            continue
+        sent = points.sparkSession.sparkContext.broadcast(pickle.dumps((q["id"].to_numpy(), unpacked(q["v"]), q["least"].to_numpy())))
+
+        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            qi, qx, least = pickle.loads(sent.value)
+            qu, floor = unit(qx).T, (least - 1e-5).astype("f4")
+            for big in batches:
+                for lo in range(0, big.num_rows, 1024):
+                    b = big.slice(lo, 1024)
+                    ids, x = b.column(0).to_numpy(), unpacked(b.column(1))
+                    i, j = np.nonzero(unit(x) @ qu >= floor)
+                    other = ids[i] != qi[j]
+                    i, j = i[other], j[other]
+                    parts = [slice(a, a + 65_536) for a in range(0, len(j), 65_536)]
+                    far, near = -np.concatenate([np.zeros(0), *[exact_cosine(qx[j[p]], x[i[p]]) for p in parts]]), ids[i]
+                    o = np.lexsort((near, far, j))
+                    j, far, near = j[o], far[o], near[o]
+                    first = np.flatnonzero(np.r_[True, j[1:] != j[:-1]]) if len(j) else np.zeros(0, "i8")
+                    keep = np.arange(len(j)) - np.repeat(first, np.diff(np.r_[first, len(j)])) < k
+                    yield pa.record_batch([pa.array(qi[j[keep]]), pa.array(far[keep]), pa.array(near[keep])], names=["id", "far", "near"])
+
+        g = points.select("id", "v").mapInArrow(scan, "id long, far double, near long").groupBy("id").agg(F.collect_list(F.struct("far", F.col("near").alias("id"))).alias("near"))
+        found.append(scratch.put(f"all{n}", g.select("id", F.slice(F.array_sort("near"), 1, k).alias("near"))))
+        sent.destroy()
+    return functools.reduce(DataFrame.unionByName, found) if found else first
+
+
 def copy_classes(points: DataFrame, scratch: Scratch, k: int) -> tuple[DataFrame, DataFrame]:
     """(points without copies, classes): vectors of equal values are one class, of which only the smallest id stays.
 
@@ -250,14 +292,15 @@ def copy_classes(points: DataFrame, scratch: Scratch, k: int) -> tuple[DataFrame
     return points.join(members.where("id <> rep").select("id"), "id", "left_anti"), members
 
 
-def neighbor_pairs(points: DataFrame, scratch: Scratch, k: int, min_cosine: float, probe: float = PROBE) -> DataFrame:
+def neighbor_pairs(points: DataFrame, scratch: Scratch, k: int, min_cosine: float, probe: float = PROBE, whole: bool = False) -> DataFrame:
     """(id, other, cosine): the at most k most similar other points of each, of cosine >= min_cosine.
 
-    Copies are looked up once for each class: a point's classmates come first, of each class met the smallest ids.
+    With ``whole`` they are exact, however far, and the least cosine must be -1.  Copies are looked up once for each
+    class: a point's classmates come first, of each class met the smallest ids.
     """
     scratch = scratch.fresh()
     single, members = copy_classes(points, scratch, k)
-    near = scratch.put("near", nearest(single, scratch, k, min_cosine, probe))
+    near = scratch.put("near", nearest_of_all(single, scratch, k) if whole else nearest(single, scratch, k, min_cosine, probe))
     if members.isEmpty():
         e = near.select("id", F.explode("near").alias("n"))
         return e.select("id", F.col("n.id").alias("other"), (-F.col("n.far")).alias("cosine"))
@@ -285,7 +328,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(topic_id, other_id, cosine): the five most similar topics of every topic, however far."""
     s = Scratch(spark)
-    p = neighbor_pairs(s.put("points", usable(table(spark, sf_dir, "topics"), "id", "embedding")), s, 5, -1.0, 0.1)
+    p = neighbor_pairs(s.put("points", usable(table(spark, sf_dir, "topics"), "id", "embedding")), s, 5, -1.0, whole=True)
     return p.select(F.col("id").alias("topic_id"), F.col("other").alias("other_id"), F.round("cosine", 6).alias("cosine"))
 
 

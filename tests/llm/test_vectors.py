@@ -102,3 +102,16 @@ def test_large_lists_are_divided(spark, scratch, monkeypatch):
     monkeypatch.setattr(clusters, "TASK_QUERIES", 3)
     test_neighbours(spark, scratch)
     test_groups(spark, scratch, 0)
+
+
+def test_neighbours_of_far_topics(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    near = np.repeat(rng.standard_normal((120, 96)), 20, axis=0) + rng.standard_normal((2400, 96)) * 0.2
+    x = np.concatenate([near, rng.standard_normal((200, 96))]).astype("f4")
+    spark.createDataFrame([(i, [float(y) for y in r]) for i, r in enumerate(x)], "id long, embedding array<float>").write.parquet(f"{tmp_path}/topics.parquet")
+    u = x.astype("f8")
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = {(i, int(j)) for i in range(len(s)) for j in np.argsort(-s[i], kind="stable")[:5]}
+    assert {(r.topic_id, r.other_id) for r in neighbors.p7_neighbors(spark, str(tmp_path)).collect()} == want
