@@ -67,14 +67,23 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of topics with at least two common chunks, its counts and its ratio to chance."""
-    a = associations(chunk_links(spark, sf_dir), Scratch(spark), 2)
+    return pair_columns(associations(chunk_links(spark, sf_dir), Scratch(spark), 2))
+
+
+def p6_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of topics with a common chunk, its counts and its ratio to chance."""
+    return pair_columns(associations(chunk_links(spark, sf_dir), Scratch(spark)))
+
+
+def pair_columns(a: DataFrame) -> DataFrame:
     return a.select(F.col("item1").alias("topic1_id"), F.col("item2").alias("topic2_id"), "n12", "n1", "n2", F.round("lift", 6).alias("lift"))
 
 
 _CTE = """WITH l AS (SELECT DISTINCT chunk_id c, topic_id t FROM chunk_topic_links WHERE chunk_id IS NOT NULL AND topic_id IS NOT NULL), n AS (SELECT count(DISTINCT c) n FROM l), o AS (SELECT t, count(*) k FROM l GROUP BY t),
 p AS (SELECT a.t t1, b.t t2, count(*) n12 FROM l a JOIN l b ON a.c = b.c AND a.t < b.t GROUP BY 1, 2), q AS (SELECT t1, t2, n12, a.k n1, b.k n2, n FROM p JOIN o a ON a.t = t1 JOIN o b ON b.t = t2 CROSS JOIN n)"""
-QUERIES = {"p6_found": p6_found, "p6_pairs": p6_pairs}
+QUERIES = {"p6_found": p6_found, "p6_pairs": p6_pairs, "p6_all_pairs": p6_all_pairs}
 SQL = {
     "p6_found": f"{_CTE} SELECT t1 AS topic1_id, t2 AS topic2_id FROM q WHERE n12 >= 4 AND n12 * n >= 20 * n1 * n2",
     "p6_pairs": f"{_CTE} SELECT t1 AS topic1_id, t2 AS topic2_id, n12, n1, n2, round(CAST(n12 * n AS DOUBLE) / (n1 * n2), 6) AS lift FROM q WHERE n12 >= 2",
+    "p6_all_pairs": f"{_CTE} SELECT t1 AS topic1_id, t2 AS topic2_id, n12, n1, n2, round(CAST(n12 * n AS DOUBLE) / (n1 * n2), 6) AS lift FROM q",
 }

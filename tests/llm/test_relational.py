@@ -110,3 +110,9 @@ def test_pruned_associations_lose_nothing(spark, scratch):
 
 def test_associations_of_nothing(spark, scratch):
     assert rows(together.associations(spark.createDataFrame([], "basket long, item long"), scratch, 2, 2.0)) == []
+
+
+def test_pairs_of_one_common_chunk(spark, tmp_path):
+    spark.createDataFrame([(1, 1), (1, 2), (2, 1), (2, 2), (2, 3)], "chunk_id long, topic_id long").write.parquet(f"{tmp_path}/chunk_topic_links.parquet")
+    got = {(r.topic1_id, r.topic2_id, r.n12) for r in together.QUERIES["p6_all_pairs"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 2, 2), (1, 3, 1), (2, 3, 1)}
