@@ -45,6 +45,16 @@ def j18_catalogue_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("id", "catalogue_id", "ok")
 
 
+def t06_all_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, place, paragraph): all paragraphs of every document, from place 0 on."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.paragraphs(F.col("text"))).alias("place", "paragraph"))
+
+
+def t09_all_word_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, place, part): all runs of ten words of every chunk, from place 0 on."""
+    return table(spark, sf_dir, "chunks").select("id", F.posexplode(text.word_chunks(F.col("text"), 10)).alias("place", "part"))
+
+
 C = F.col
 _PY = [
     ("t01_html_to_text", "documents", "doc_id", dict(plain=lambda: text.html_to_text(C("text")))),
@@ -68,7 +78,7 @@ def _lazy(source, key, columns):
 
 def queries() -> dict:
     q = {name: _lazy(source, key, columns) for name, source, key, columns in _PY}
-    return q | {"t05_chunks": t05_chunks, "t12_filtered_topics": t12_filtered_topics, "s21_saved_topics": s21_saved_topics, "j18_catalogue_match": j18_catalogue_match}
+    return q | {"t05_chunks": t05_chunks, "t06_all_paragraphs": t06_all_paragraphs, "t09_all_word_chunks": t09_all_word_chunks, "t12_filtered_topics": t12_filtered_topics, "s21_saved_topics": s21_saved_topics, "j18_catalogue_match": j18_catalogue_match}
 
 
 def _replaced(x: str, steps) -> str:
@@ -101,6 +111,8 @@ def oracle_sql() -> dict[str, str]:
         "t04_remove_tags": f"SELECT id, {_replaced('description', [(r'<[^<]+?>', ''), (r'\A\s+|\s+\z', '')])} AS plain FROM books",
         "t06_paragraphs": f"SELECT doc_id, CAST(len({pars}) AS INTEGER) AS n, {pars}[1] AS first FROM documents",
         "t09_word_chunks": f"SELECT id, CAST(ceil(len({words}) / 10.0) AS INTEGER) AS n, array_to_string({words}[1:10], ' ') AS first FROM chunks",
+        "t06_all_paragraphs": f"SELECT doc_id, CAST(unnest(generate_series(0, len(l) - 1)) AS INTEGER) AS place, unnest(l) AS paragraph FROM (SELECT doc_id, {pars} l FROM documents)",
+        "t09_all_word_chunks": f"SELECT id, CAST(i AS INTEGER) AS place, array_to_string(l[i * 10 + 1:i * 10 + 10], ' ') AS part FROM (SELECT id, l, unnest(generate_series(0, CAST(ceil(len(l) / 10.0) AS BIGINT) - 1)) i FROM (SELECT id, {words} l FROM chunks))",
         "t10_word_count": f"SELECT id, CAST(len({words}) AS INTEGER) AS words FROM chunks",
         "t11_normalize_topic": f"SELECT raw_id, CASE WHEN {good('s')} THEN s END AS topic FROM (SELECT raw_id, {norm('topic')} s FROM chunk_topics)",
         "t12_filtered_topics": f"SELECT id, array_to_string(list_filter(list_transform(CAST(from_json(topics_json, '[\"VARCHAR\"]') AS VARCHAR[]), lambda t: CASE WHEN {good(norm('t'))} THEN {norm('t')} END), lambda t: t IS NOT NULL), '|') AS topics FROM chunks WHERE topics_json IS NOT NULL",

@@ -295,3 +295,12 @@ def test_large_components_get_the_communities_of_small_ones(spark, scratch, kind
     whole = {r.node: r.community for r in community.communities(df, scratch, resolution, kind).collect()}
     parts = {r.node: r.community for r in community.communities(df, scratch, resolution, kind, task_edges=len(edges) - 1).collect()}
     assert set(parts) == set(range(n)) and quality(parts) >= 0.97 * quality(whole)
+
+
+def test_all_parts_of_texts(spark, tmp_path):
+    words = [f"w{i}" for i in range(23)]
+    spark.createDataFrame([(1, "a\n\n b \n\n\nc"), (2, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(words)), (2, None)], "id long, text string").write.parquet(f"{tmp_path}/chunks.parquet")
+    q = registry.queries()
+    assert sorted(map(tuple, q["t06_all_paragraphs"](spark, str(tmp_path)).collect())) == [(1, 0, "a"), (1, 1, "b"), (1, 2, "c")]
+    assert sorted(map(tuple, q["t09_all_word_chunks"](spark, str(tmp_path)).collect())) == [(1, i, " ".join(words[i * 10 : i * 10 + 10])) for i in range(3)]
