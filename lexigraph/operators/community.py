@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigraph.functions.scoring import log_grid
+from lexigraph.operators import tables
 from lexigraph.operators.graph import both_ways, components
 from lexigraph.session import Scratch
 
@@ -105,10 +106,10 @@ def leiden(nodes: list[int], edges: list[tuple[int, int, float]], resolution: fl
     return {v: of[held[i]] for i, v in enumerate(nodes)}
 
 
-def numbered(labels: DataFrame) -> DataFrame:
+def numbered(labels: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, community) with communities numbered by size, the one with the smallest node first among equals."""
     g = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"))
-    order = g.select("label", (F.row_number().over(Window.orderBy(F.desc("n"), "first")) - 1).cast("long").alias("community"))
+    order = tables.numbered(g, "community", [F.desc("n"), F.col("first")], scratch, 0).select("label", "community")
     return labels.join(order, "label").select("node", "community")
 
 
@@ -206,7 +207,7 @@ def communities(edges: DataFrame, scratch: Scratch, resolution: float = 0.001, k
         mass = both_ways(b).groupBy("node").agg(F.lit(1.0).alias("mass") if kind == "cpm" else F.sum("weight").alias("mass"))
         penalty = resolution if kind == "cpm" else resolution / max(1e-12, 2 * total)
         labels = labels.unionByName(leiden_by_levels(b, mass, penalty, scratch, seed, task_edges))
-    return numbered(scratch.put("comm_labels", labels))
+    return numbered(scratch.put("comm_labels", labels), scratch)
 
 
 def sweep(edges: DataFrame, scratch: Scratch, low: float, high: float, n: int, seeds: int = 2, kind: str = "cpm") -> DataFrame:

@@ -96,11 +96,17 @@ GENERIC_LABELS = (
 ).split()
 
 
-def hubs(degree: DataFrame, topics: DataFrame, quantile: float = 0.95, labels: list[str] | None = None) -> DataFrame:
-    """(node): topics of a degree strictly above the quantile, or with a generic label."""
+def top_hubs(degree: DataFrame, topics: DataFrame, n: int = 20) -> DataFrame:
+    """(node, label, degree) of the n topics of most neighbours."""
+    return degree.join(topics.select(F.col("id").alias("node"), "label"), "node").orderBy(F.desc("degree"), "node").limit(n).select("node", "label", "degree")
+
+
+def hubs(degree: DataFrame, topics: DataFrame, quantile: float = 0.95, labels: list[str] | None = None, method: str = "both") -> DataFrame:
+    """(node): topics of a degree strictly above the quantile ('degree'), with a generic label ('generic'), or either."""
     cut = degree.agg(F.percentile("degree", F.lit(quantile)).alias("cut"))
     d = degree.join(topics.select(F.col("id").alias("node"), "label"), "node").withColumn("cut", cut.scalar())
-    return d.where((F.col("degree") > F.col("cut")) | F.lower("label").isin(labels or GENERIC_LABELS)).select("node")
+    many, generic = F.col("degree") > F.col("cut"), F.lower("label").isin(labels or GENERIC_LABELS)
+    return d.where({"degree": many, "generic": generic, "both": many | generic}[method]).select("node")
 
 
 def hub_memberships(edges: DataFrame, hub: DataFrame, primary: DataFrame, most: int = 5, least_weight: float = 3.0) -> DataFrame:

@@ -2,56 +2,46 @@
 
 from __future__ import annotations
 
-import html
+import importlib.util
 import io
-import re
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexigraph.functions.text import BLOCK_TAGS, ENTITIES
+from lexigraph.functions import text
+from lexigraph.functions.text import ENTITIES
 
+# Endings of the text parts of an EPUB, elements that are no text, words of a part and of a PDF at least.
 PARTS = (".xhtml", ".html", ".htm", ".xml")
 DROPPED = "script style nav header footer".split()
-LEAST_PART_WORDS = 10
+LEAST_PART_WORDS, LEAST_PDF_WORDS = 10, 100
 
 
-def fragment_text(s: str) -> str:
-    """One HTML part as text, by the rules of functions.text.html_to_text, without scripts and page furniture."""
-    for t in DROPPED:
-        s = re.sub(rf"(?is)<{t}\b.*?</{t}\s*>", " ", s)
-    s = re.sub(r"(?i)<br\s*/?>", "\n", s)
-    s = re.sub(r"(?i)<hr\s*/?>", "\n\n", s)
-    s = re.sub(rf"(?i)</?(?:{'|'.join(BLOCK_TAGS)})\b[^>]*>", "\n\n", s)
-    s = re.sub(r"<[^>]+>", " ", s)
-    for name, char in ENTITIES:
-        s = s.replace(name, char)
-    s = re.sub(r" ?\n ?", "\n", re.sub(r"[ \t]+", " ", re.sub(r"\[\d+\]", "", s)))
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(x.strip() for x in s.split("\n"))).strip()
+def part_text(part: Column) -> Column:
+    """Text of an HTML part without scripts and page furniture."""
+    names = "|".join(DROPPED)
+    bare = F.regexp_replace(F.regexp_replace(part, rf"(?i)<(?:{names})\b[^>]*/>", " "), rf"(?is)<({names})\b.*?</\1\s*>", " ")
+    return text.html_to_text(bare)
 
 
-def epub_text(content: bytes) -> str:
-    """The text of an EPUB: its parts in order of their names, tables of contents and parts of a few words left out."""
+def epub_parts(content: bytes) -> list[str]:
+    """The HTML parts of an EPUB in order of their names, without tables of contents; parts that can't be read are left
+    out."""
     out = []
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         for name in sorted(z.namelist()):
             low = name.lower()
-            base = low.rsplit("/", 1)[-1]
-            if not (low.endswith(PARTS) or ".html_split_" in low) or base.startswith("toc") or low.endswith((".ncx", ".opf")):
-                continue
-            try:
-                text = fragment_text(z.read(name).decode("utf-8", "replace"))
-            except (zipfile.BadZipFile, KeyError, OSError):
-                continue
-            if len(text.split()) > LEAST_PART_WORDS:
-                out.append(text)
-    return "\n\n".join(out)
+            if (low.endswith(PARTS) or ".html_split_" in low) and not low.rsplit("/", 1)[-1].startswith("toc") and not low.endswith((".ncx", ".opf")):
+                try:
+                    out.append(z.read(name).decode("utf-8", "replace"))
+                except (zipfile.BadZipFile, KeyError, OSError):
+                    continue
+    return out
 
 
 def epub_metadata(content: bytes) -> tuple[str | None, str | None]:
@@ -68,10 +58,17 @@ def epub_metadata(content: bytes) -> tuple[str | None, str | None]:
     return None, None
 
 
-def read_documents(spark: SparkSession, path: str, pdf: Callable[[bytes], str] | None = None) -> DataFrame:
+def first_available(*engines: tuple[str, Callable[[bytes], str]]) -> Callable[[bytes], str] | None:
+    """The first of several (module, parser) whose module can be imported; None without any."""
+    return next((parse for module, parse in engines if importlib.util.find_spec(module)), None)
+
+
+def read_documents(spark: SparkSession, path: str, pdf: Callable[[bytes], list[str]] | None = None, ocr: Callable[[bytes], str] | None = None) -> DataFrame:
     """(path, format, title, author, text, status) of the files under a path, one row each.
 
-    A broken or unsupported file is a row with its status, not an error; EPUB is built in, PDF by the parser given.
+    A broken or unsupported file is a row with its status, not an error.  EPUB is built in: its parts of more than ten
+    words, joined by blank lines.  ``pdf`` gives the pages of a PDF's text layer; where they hold fewer than 100 words,
+    ``ocr`` gives Markdown instead.  Only taking files apart runs in Python; the text is made by Columns.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
@@ -80,20 +77,26 @@ def read_documents(spark: SparkSession, path: str, pdf: Callable[[bytes], str] |
             rows = []
             for path, content in zip(b["path"], b["content"]):
                 kind = path.rsplit(".", 1)[-1].lower() if "." in path else "unknown"
-                title = author = text = None
+                title = author = parts = scanned = None
                 try:
                     if kind == "epub":
-                        text = epub_text(content)
+                        parts = epub_parts(content)
                         title, author = epub_metadata(content)
-                    elif kind == "pdf" and pdf is not None:
-                        text = pdf(content)
-                    status = "ok" if text is not None else "unsupported"
+                    elif kind == "pdf" and (pdf or ocr):
+                        parts = pdf(content) if pdf else []
+                        if ocr and sum(len(p.split()) for p in parts) < LEAST_PDF_WORDS:
+                            scanned = ocr(content)
+                    status = "ok" if parts is not None else "unsupported"
                 except Exception as e:  # noqa: BLE001
-                    status = f"error: {type(e).__name__}"
-                rows.append((path, kind, title, author, text, status))
-            yield pd.DataFrame(rows, columns=["path", "format", "title", "author", "text", "status"])
-
-    return files.mapInPandas(kernel, "path string, format string, title string, author string, text string, status string")
+                    status, parts = f"error: {type(e).__name__}", None
+                rows.append((path, kind, title, author, parts, scanned, status))
+            yield pd.DataFrame(rows, columns=["path", "format", "title", "author", "parts", "scanned", "status"])
+
+    d = files.mapInPandas(kernel, "path string, format string, title string, author string, parts array<string>, scanned string, status string")
+    html = F.filter(F.transform("parts", part_text), lambda p: text.word_count(p) > LEAST_PART_WORDS)
+    pages = F.filter(F.transform("parts", text.strip), lambda p: p != "")
+    whole = F.when(F.col("scanned").isNotNull(), text.clean_markdown(F.col("scanned"))).when(F.col("format") == "epub", F.array_join(html, "\n\n")).otherwise(F.array_join(pages, "\n\n"))
+    return d.select("path", "format", "title", "author", whole.alias("text"), "status")
 
 
 def book_anchors(pages: Column) -> Column:

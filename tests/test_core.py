@@ -94,9 +94,9 @@ def test_similarity_join(spark, block):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     df = spark.createDataFrame([(i, [float(y) for y in r]) for i, r in enumerate(x)], "id long, v array<double>")
     s = u @ u.T
-    got = {(r.id1, r.id2) for r in similarity.similar_pairs(df, 0.5, block=block).collect()}
+    got = {(r.id1, r.id2) for r in similarity.similar_pairs(df, 0.5, cell=block).collect()}
     assert got == {(i, j) for i in range(40) for j in range(i + 1, 40) if s[i, j] >= 0.5}
-    near = {(r.id, r.other) for r in similarity.nearest(df, 3, block=block).collect()}
+    near = {(r.id, r.other) for r in similarity.nearest(df, 3, cell=block).collect()}
     assert near == {(i, j) for i in range(40) for j in sorted((j for j in range(40) if j != i), key=lambda j: -s[i, j])[:3]}
 
 
