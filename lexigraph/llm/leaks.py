@@ -14,14 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigraph.llm.words import text_of, word_lists
-from lexigraph.session import table
+from lexigraph.session import Scratch, table
 
 WINDOW = 5  # words; see window_fingerprints
 RADIUS = 3  # bits; 64 bits in RADIUS + 1 blocks
 BLOCKS, BITS = 4, 16
 LEAST_WORDS, EDITS_PER_WORDS = 15, 8
-STOCK = 8  # an opening run of words that as many items share is a stock instruction
-ITEMS_AT_ONCE = 4096
+STOCK = 8  # an opening that goes on in so many ways is a stock instruction; see openings
+ITEMS_AT_ONCE = 16_384  # of 100 words, an index of about 100 MB
 SIMILAR = 0.5
 
 
@@ -52,18 +52,11 @@ def window_fingerprints(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndar
 class ItemIndex:
     """The windows of a block of items under the values of each of the four blocks of their fingerprint."""
 
-    def __init__(self, ids: list[int], texts: list[str | None], stock: set[int]):
+    def __init__(self, ids: list[int], texts: list[str | None], opening: list[int]):
         hashes, starts, codes, self.words = word_lists(pa.array(texts, pa.string()), markup=True)
         at, prints = window_fingerprints(hashes, starts)
-        self.ids, self.passages, owner = ids, [], text_of(starts)
-        opening = np.zeros(len(ids), "i8")  # words of each item that are a stock instruction
-        is_stock = np.isin(prints, np.fromiter(stock, "u8", len(stock)))
-        of = owner[at]
-        for i in range(len(ids)):
-            mine = is_stock[of == i]
-            run = len(mine) if mine.all() else int(np.argmin(mine))
-            opening[i] = run + WINDOW - 1 if run else 0
-            self.passages.append(hashes[starts[i] + opening[i] : starts[i + 1]])
+        self.ids, of, opening = ids, text_of(starts)[at], np.array(opening, "i8")
+        self.passages = [hashes[starts[i] + opening[i] : starts[i + 1]] for i in range(len(ids))]
         inside = at - starts[of] >= opening[of]
         self.prints, self.item, self.at = prints[inside], of[inside], (at - starts[of] - opening[of])[inside]
         self.tables = []
@@ -177,12 +170,40 @@ def kept_shingles(p: list[int], q: list[int], edits: int) -> set[tuple[int, int]
     return out
 
 
-def stock_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def item_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item_id, n, prefix, next, fair): each beginning of n words of an item, the five words after it, and whether it
+    is no longer than the rest."""
     for b in batches:
-        hashes, starts, _, _ = word_lists(b.column(0), markup=True)
-        at, prints = window_fingerprints(hashes, starts)
-        pairs = np.unique(np.stack([text_of(starts)[at].astype("u8"), prints]), axis=1)
-        yield pa.record_batch({"w": pa.array(pairs[1].view("i8"))})
+        hashes, starts, _, _ = word_lists(b.column(1), markup=True)
+        ids = b.column(0).to_pylist()
+        for i, item in enumerate(ids):
+            h = hashes[starts[i] : starts[i + 1]]
+            m = len(h) - 1
+            if m < 1:
+                continue
+            prefix, after, one, mix = np.empty(m, "u8"), np.zeros(m, "u8"), 0, 0x9E3779B97F4A7C15
+            for n, x in enumerate(h[:m].tolist()):
+                one = (one ^ x) * mix + 1 & 2**64 - 1
+                prefix[n] = one
+            for k in range(1, WINDOW + 1):
+                after = after * np.uint64(mix) + np.r_[h[k:], np.zeros(k, "u8")][:m]
+            n = np.arange(1, m + 1)
+            yield pa.record_batch({"item_id": pa.array([item] * m, pa.int64()), "n": pa.array(n), "prefix": pa.array(prefix.view("i8")), "next": pa.array(after.view("i8")), "fair": pa.array(n <= m + 1 - n)})
+
+
+def openings(items: DataFrame, scratch: Scratch) -> DataFrame:
+    """(item_id, text, opening): the number of words of each item that are a stock instruction.
+
+    That is its longest beginning that goes on in STOCK ways or more, in items of which it is no more than half, and
+    in at least half as many ways as any shorter one.  So instructions before many passages go, while a passage stays
+    whatever number of items share it: what follows it in them is shorter than itself.
+    """
+    p = scratch.put("prefixes", items.mapInArrow(item_prefixes, "item_id long, n long, prefix long, next long, fair boolean"))
+    ways = p.where("fair").select("prefix", "next").distinct().groupBy("prefix").agg(F.count(F.lit(1)).alias("ways")).where(F.col("ways") >= STOCK)
+    own = p.join(ways, "prefix").select("item_id", "n", "ways").distinct()
+    most = own.groupBy("item_id").agg(F.max("ways").alias("most"))
+    o = own.join(most, "item_id").where(F.col("ways") * 2 >= F.col("most")).groupBy("item_id").agg(F.max("n").alias("opening"))
+    return items.join(o, "item_id", "left").select("item_id", "text", F.coalesce("opening", F.lit(0)).alias("opening"))
 
 
 def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -190,20 +211,21 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     succession with at most one word in eight altered, added or left out, once for each such item.
 
     ``docs`` has (doc_id, text), ``items`` (item_id, text).  Null or empty texts and rows without an id match nothing;
-    repeated rows repeat their result.  Items go out in blocks of 4,096, each broadcast as an index of its windows (an
-    item of 100 words takes about 6 kB) and held against all documents in one scan, so neither memory nor result
-    depends on how many items there are.  Every window within the radius becomes a candidate; nothing is capped.
+    repeated rows repeat their result.  Items go out in blocks of 16,384, each broadcast as an index of its windows (an
+    item of 100 words takes about 6 kB) and held against all documents in one scan, so memory doesn't depend on how
+    many items there are.  Every window within the radius becomes a candidate; nothing is capped.
     """
     spark = docs.sparkSession
+    scratch = Scratch(spark)
     items = items.select("item_id", "text").where("item_id is not null and text is not null")
-    stock = {r.w % 2**64 for r in items.select("text").mapInArrow(stock_windows, "w long").groupBy("w").count().where(F.col("count") >= STOCK).select("w").toLocalIterator()}
+    items = scratch.put("items", openings(items, scratch))
     blocks = math.ceil(items.count() / ITEMS_AT_ONCE)
     out = None
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id").collect()
         if not part:
             continue
-        index = spark.sparkContext.broadcast(cloudpickle.dumps(ItemIndex([r.item_id for r in part], [r.text for r in part], stock)))
+        index = spark.sparkContext.broadcast(cloudpickle.dumps(ItemIndex([r.item_id for r in part], [r.text for r in part], [r.opening for r in part])))
 
         def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             ix = pickle.loads(index.value)
