@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import heapq
 import math
 from collections.abc import Iterator
 
@@ -42,39 +41,44 @@ def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     return docs.select("doc_id", "source", "text").mapInArrow(count, "doc_id long, source string, n_tokens long")
 
 
-def sainte_lague(weights: dict, seats: int, caps: dict | None = None) -> dict:
-    """Seats by the highest quotients weight / (2 k + 1), ties to the smaller key, none above its cap.
+def water_level(rows: DataFrame, by: list[str], seats: Column, name: str) -> DataFrame:
+    """(*by, name): the level at which the shares min(cap, level * w) of a group's rows add up to its seats; infinite
+    where all caps together hold no more."""
+    w = Window.partitionBy(*by).orderBy(F.col("cap") / F.col("w"), "key")
+    before, from_here = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(0, Window.unboundedFollowing)
+    level = (seats - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("w").over(from_here)
+    r = rows.select(*by, level.alias("level"), (F.col("cap") / F.col("w")).alias("full"), F.row_number().over(w).alias("place"))
+    g = r.groupBy(*by).agg(F.min(F.when(F.col("level") < F.col("full"), F.struct("place", "level"))).alias("m"))
+    return g.select(*by, F.coalesce("m.level", F.lit(float("inf"))).alias(name))
 
-    A lower bound for every key comes from the common divisor, so only about as many seats as there are keys go
-    through the queue.
+
+def apportioned(rows: DataFrame, by: list[str], scratch: Scratch) -> DataFrame:
+    """``rows`` (*by, key, w, cap, seats) with got: each group's seats by the highest quotients w / (2 k + 1), ties to the
+    smaller key, none above its cap.  A null or non-positive weight gets none.
+
+    The level of half a seat a row fewer gives every row seats that it has for certain, that of half a seat more those
+    that it can have; only the seats between the two, about one for each row, are ranked.  Nothing goes through the
+    driver; a window holds a row for each key of a group.
     """
-    caps = caps or {}
-    total = sum(weights.values())
-    least = lambda k, d: max(0, min(caps.get(k, math.inf), math.floor(weights[k] / d - 0.5)))
-    got = {k: least(k, total / max(1, seats - len(weights))) if seats > len(weights) else 0 for k in weights}
-    while sum(got.values()) > seats:  # only where caps or rounding bite
-        k = min((k for k in got if got[k]), key=lambda k: (weights[k] / (2 * got[k] - 1), -hash(k)))
-        got[k] -= 1
-    queue = [(-weights[k] / (2 * got[k] + 1), k) for k in weights if weights[k] > 0 and got[k] < caps.get(k, math.inf)]
-    heapq.heapify(queue)
-    left = seats - sum(got.values())
-    while left and queue:
-        _, k = heapq.heappop(queue)
-        got[k] += 1
-        left -= 1
-        if got[k] < caps.get(k, math.inf):
-            heapq.heappush(queue, (-weights[k] / (2 * got[k] + 1), k))
-    return got
-
-
-def targets_of(targets: DataFrame) -> dict[str, tuple[float, int]]:
-    """{source: (weight, max_repeats)}: weights of names that are the same add up, the least max_repeats holds, a null
-    one is 1; null, negative or NaN weights count as 0.  More than 100,000 sources are an error."""
-    t = targets.select(source_name(F.col("source")).alias("s"), F.col("target_weight").alias("w"), F.col("max_repeats").alias("m")).where("s is not null")
-    rows = t.groupBy("s").agg(F.sum(F.when(F.isnan("w") | (F.coalesce("w", F.lit(0.0)) < 0), 0.0).otherwise(F.coalesce("w", F.lit(0.0)))).alias("w"), F.min(F.coalesce("m", F.lit(1))).alias("m")).limit(100_001).collect()
-    if len(rows) > 100_000:
-        raise ValueError("more than 100,000 sources")
-    return {r.s: (r.w, max(0, r.m)) for r in rows}
+    r = scratch.put("seats", rows.where("w > 0 and cap > 0 and seats > 0").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*by))))
+    low, high = water_level(r, by, F.col("seats") - F.col("n") / 2 - 1, "low"), water_level(r, by, F.col("seats") + F.col("n") / 2 + 1, "high")
+    r = r.join(low, by).join(high, by)
+    held = lambda level, more: F.least(F.col("cap"), F.greatest(F.lit(0), F.when(F.col(level) == float("inf"), F.col("cap")).otherwise(F.floor(F.col(level) * F.col("w") + 0.5)) + more)).cast("long")
+    r = scratch.put("sure", r.withColumns({"sure": held("low", 0), "most": held("high", 1)}))
+    left = r.groupBy(*by).agg((F.first("seats") - F.sum("sure")).alias("left"))
+    seat = r.where("most > sure").select(*by, "key", "w", F.explode(F.sequence("sure", F.col("most") - 1)).alias("k"))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(F.col("w") / (2 * F.col("k") + 1)), "key", "k"))
+    more = seat.withColumn("place", place).join(left, by).where(F.col("place") <= F.col("left")).groupBy(*by, "key").agg(F.count(F.lit(1)).alias("more"))
+    got = r.join(more, [*by, "key"], "left").select(*by, "key", (F.col("sure") + F.coalesce("more", F.lit(0))).alias("got"))
+    return rows.join(got, [*by, "key"], "left").withColumn("got", F.coalesce("got", F.lit(0)).cast("long"))
+
+
+def targets_of(targets: DataFrame) -> DataFrame:
+    """(source, weight, repeats): weights of names that are the same add up, the least max_repeats holds, a null one is 1;
+    null, negative or NaN weights count as 0."""
+    t = targets.select(source_name(F.col("source")).alias("source"), F.col("target_weight").alias("w"), F.col("max_repeats").alias("m")).where("source is not null")
+    w = F.when(F.isnan("w") | (F.coalesce("w", F.lit(0.0)) < 0), 0.0).otherwise(F.coalesce("w", F.lit(0.0)))
+    return t.groupBy("source").agg(F.sum(w).alias("weight"), F.greatest(F.lit(0), F.min(F.coalesce("m", F.lit(1)))).cast("long").alias("repeats"))
 
 
 def mix(docs: DataFrame, targets: DataFrame, scratch: Scratch, total_tokens: int | None = None, block: int = BLOCK_TOKENS, seed: int = SEED, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
@@ -87,44 +91,49 @@ def mix(docs: DataFrame, targets: DataFrame, scratch: Scratch, total_tokens: int
     shares; a larger total leaves the sources that are used up below their share and the others above.  The total
     is divided into equal-token blocks, which the sources get by highest quotients, and each source's blocks are
     apportioned in the same way to its shards (documents spread by seeded hash, about 50,000 a shard).  Within a
-    shard, all documents are used as often as its quota holds them whole, and the rest goes to documents in seeded
-    order, the last by the nearer end, so a shard misses its quota by half a document at most.  Documents without a
-    source named, an id or a token aren't used.  Repeated rows are documents of their own.
+    shard documents stand in seeded order and fill block after block; all blocks are used as often as the quota holds
+    the shard whole, and the rest of it takes blocks in this order, the last by the nearer end, so that a shard misses
+    its quota by half a block (or half of a document that is larger) at most.  Documents without a source named, an id
+    or a token aren't used.  Repeated rows are documents of their own.
     """
-    scratch = scratch.fresh()
-    want = targets_of(targets)
-    named = docs.select("doc_id", source_name(F.col("source")).alias("source"), "text").where(F.col("source").isin(list(want)) & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    sized = scratch.put("sized", token_counts(named, tokenizer).where("n_tokens > 0"))
+    scratch, spark = scratch.fresh(), docs.sparkSession
+    want = scratch.put("targets", targets_of(targets))
+    d = docs.select("doc_id", source_name(F.col("source")).alias("source"), "text").where("doc_id is not null and source is not null and text is not null")
+    if want.count() <= 100_000:  # of more names, only those of the sizes are compared, as texts shouldn't be shuffled
+        d = d.join(F.broadcast(want.select("source")), "source", "left_semi")
+    sized = scratch.put("sized", token_counts(d, tokenizer).where("n_tokens > 0").join(want.select("source"), "source", "left_semi"))
     shards = max(1, math.ceil(sized.count() / SHARD_DOCS))
     sized = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(shards)).cast("int"))
-    have: dict[str, dict[int, int]] = {}
-    for r in sized.groupBy("source", "shard").agg(F.sum("n_tokens").alias("n")).toLocalIterator():  # sources x shards rows
-        have.setdefault(r.source, {})[r.shard] = r.n
-    spark = docs.sparkSession
-    sum_w = sum(w for w, _ in want.values())
-    live = {s: want[s][0] for s in have if want[s][0] > 0 and want[s][1] > 0}
-    caps = {s: sum(have[s].values()) * want[s][1] for s in live}
-    if live and total_tokens is None:
-        total_tokens = int(min(caps[s] * sum(live.values()) / live[s] for s in live))
-    quota = sainte_lague(live, (total_tokens or 0) // block, {s: caps[s] // block for s in live}) if live else {}
-    plan = []
-    for s, blocks in quota.items():
-        per = sainte_lague(have[s], blocks, {h: n * want[s][1] // block for h, n in have[s].items()})
-        missing = (blocks - sum(per.values())) * block  # tokens lost where shards round down go to the shards with room
-        for h in sorted(per):
-            more = max(0, min(have[s][h] * want[s][1] - per[h] * block, missing))
-            missing -= more
-            plan.append((s, h, (per[h] * block + more) // have[s][h], (per[h] * block + more) % have[s][h]))
-    p = spark.createDataFrame(plan, "source string, shard int, passes long, rest long")
-    w = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    d = sized.join(F.broadcast(p), ["source", "shard"]).withColumn("before", F.coalesce(F.sum("n_tokens").over(w), F.lit(0)))
-    chosen = d.withColumn("repeats", F.col("passes") + F.when(F.col("before") + F.col("n_tokens") / 2 <= F.col("rest"), 1).otherwise(0)).where("repeats > 0")
+    have = scratch.put("have", sized.groupBy("source", "shard").agg(F.sum("n_tokens").alias("n")))
+    sources = scratch.put("sources", want.join(have.groupBy("source").agg(F.sum("n").alias("available")), "source", "left").withColumn("available", F.coalesce("available", F.lit(0)).cast("long")))
+    live = sources.where("weight > 0 and repeats > 0 and available > 0")
+    cap = F.col("available") * F.col("repeats")
+    if total_tokens is None:
+        a = live.agg(F.min(cap / F.col("weight")).alias("least"), F.sum("weight").alias("all")).first()
+        total_tokens = int(a["least"] * a["all"]) if a["all"] else 0
+    seats = live.select(F.lit(0).alias("all"), F.col("source").alias("key"), F.col("weight").alias("w"), F.floor(cap / block).alias("cap"), F.lit(total_tokens // block).cast("long").alias("seats"))
+    quota = scratch.put("quota", apportioned(seats, ["all"], scratch.fresh()).select(F.col("key").alias("source"), F.col("got").alias("seats"), (F.col("got") >= F.col("cap")).alias("capped")))
+    parts = have.join(quota.select("source", "seats"), "source").join(live.select("source", "repeats"), "source")
+    parts = parts.select("source", F.col("shard").alias("key"), F.col("n").cast("double").alias("w"), F.floor(F.col("n") * F.col("repeats") / block).alias("cap"), "seats", "n", (F.col("n") * F.col("repeats")).alias("room"))
+    per = scratch.put("per_shard", apportioned(parts, ["source"], scratch.fresh()))
+    # What shards round down goes to those with room left, in order.
+    room = F.col("room") - F.col("got") * block
+    w = Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    missing = (F.col("seats") - F.sum("got").over(Window.partitionBy("source"))) * block - F.coalesce(F.sum(room).over(w), F.lit(0))
+    tokens = F.col("got") * block + F.greatest(F.lit(0), F.least(room, missing))
+    plan = per.select("source", F.col("key").alias("shard"), tokens.alias("tokens"), "n").select("source", "shard", F.floor(F.col("tokens") / F.col("n")).alias("passes"), (F.col("tokens") % F.col("n")).alias("rest"))
+    order = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = sized.join(plan, ["source", "shard"]).withColumn("before", F.coalesce(F.sum("n_tokens").over(order), F.lit(0))).withColumn("block", F.floor(F.col("before") / block))
+    one = Window.partitionBy("source", "shard", "block")
+    first, whole = F.min("before").over(one), F.sum("n_tokens").over(one)
+    chosen = blocks.withColumn("repeats", F.col("passes") + F.when(first + whole / 2 <= F.col("rest"), 1).otherwise(0)).where("repeats > 0")
     chosen = scratch.put("chosen", chosen.select("doc_id", "source", "n_tokens", "repeats"))
-    base = spark.createDataFrame([(s, w / sum_w if sum_w else 0.0, sum(have.get(s, {}).values()), s in quota and quota[s] >= caps[s] // block) for s, (w, _) in sorted(want.items())], "source string, target_share double, available_tokens long, capped boolean")
     got = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.count(F.lit(1)).alias("n_docs"), F.max("repeats").alias("most_repeats"))
-    total = F.sum(F.coalesce("tokens", F.lit(0))).over(Window.partitionBy(F.lit(0)))  # one row for each source
-    shares = base.join(got, "source", "left").withColumn("share", F.round(F.coalesce(F.col("tokens") / F.nullif(total, F.lit(0)), F.lit(0.0)), 6))
-    return chosen, shares.select("source", F.round("target_share", 6).alias("target_share"), "share", F.coalesce("tokens", F.lit(0)).alias("tokens"), "available_tokens", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), "capped")
+    all_ = got.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).scalar()
+    weights = sources.agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("t")).scalar()
+    part = lambda x, t: F.round(F.coalesce(x / F.nullif(t, F.lit(0)), F.lit(0.0)), 6)
+    shares = sources.join(got, "source", "left").join(quota.select("source", "capped"), "source", "left")
+    return chosen, shares.select("source", part(F.col("weight"), weights).alias("target_share"), part(F.col("tokens"), all_).alias("share"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.col("available").alias("available_tokens"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), F.coalesce("capped", F.lit(False)).alias("capped"))
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

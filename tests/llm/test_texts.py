@@ -108,6 +108,20 @@ def test_items_in_several_blocks(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in leaks.find_leaks(docs, items).collect()} == {(1, 0), (2, 1), (3, 2), (4, 3), (4, 52), (11, 6)}
 
 
+@pytest.mark.parametrize("many", [7, 8, 500])
+def test_passage_shared_by_any_number_of_items(spark, many):
+    """A passage is a case for each item that holds it; the instruction before it, used for others too, is none."""
+    rng = random.Random(many)
+    stock = "read the passage below and answer the question that follows it in one short sentence please"
+    passage = " ".join(sentence(rng, 60))
+    items = [(i, f"{passage} {' '.join(sentence(rng, 8))}?") for i in range(many)] + [(1000 + i, f"{stock} {passage} {' '.join(sentence(rng, 8))}?") for i in range(many)]
+    items += [(2000 + i, f"{stock} {' '.join(sentence(rng, 40))}") for i in range(12)]
+    docs = [(1, " ".join(sentence(rng, 30)) + " " + passage + " " + " ".join(sentence(rng, 30))), (2, stock + " " + " ".join(sentence(rng, 30)))]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.words for r in leaks.find_leaks(docs, items).collect()}
+    assert set(got) == {(1, i) for base in (0, 1000) for i in range(base, base + many)} and min(got.values()) >= 60
+
+
 def test_leaks_of_nothing(spark):
     docs, items = leak_tables(spark)
     assert leaks.find_leaks(docs.limit(0), items).count() == 0
@@ -116,7 +130,7 @@ def test_leaks_of_nothing(spark):
 
 def test_hamming_blocks_find_all_within_the_radius():
     rng = np.random.default_rng(1)
-    ix = leaks.ItemIndex([1], [" ".join(f"w{i}" for i in range(300))], set())
+    ix = leaks.ItemIndex([1], [" ".join(f"w{i}" for i in range(300))], [0])
     flips = np.array([np.bitwise_xor.reduce(np.uint64(1) << rng.choice(64, 3, replace=False).astype("u8")) for _ in range(len(ix.prints))])
     w, i = ix.hits(ix.prints ^ flips)
     assert set(zip(range(len(flips)), range(len(flips)))) <= set(zip(w.tolist(), i.tolist()))
@@ -175,18 +189,27 @@ def test_perplexity_of_nothing(spark, scratch):
     assert repetition.perplexities(spark.createDataFrame([], "doc_id long, text string, lang string"), scratch).count() == 0
 
 
-@pytest.mark.parametrize("weights,seats", [({"a": 53, "b": 24, "c": 23}, 7), ({"a": 1, "b": 1, "c": 1}, 2), ({"a": 10, "b": 0.001}, 1000), ({"a": 5.5, "b": 3, "c": 1.2, "d": 0.3}, 97)])
-def test_sainte_lague(weights, seats):
-    plain = dict.fromkeys(weights, 0)
+def seats_of(spark, scratch, weights, seats, caps=None):
+    rows = [(0, k, float(w), (caps or {}).get(k, 10**9), seats) for k, w in weights.items()]
+    return {r.key: r.got for r in mixing.apportioned(spark.createDataFrame(rows, "all int, key string, w double, cap long, seats long"), ["all"], scratch).collect()}
+
+
+def by_quotients(weights, seats, caps=None):
+    """One seat after the other to the highest quotient, the smaller key first among equals."""
+    got, caps = dict.fromkeys(weights, 0), caps or {}
     for _ in range(seats):
-        plain[min(weights, key=lambda k: (-weights[k] / (2 * plain[k] + 1), k))] += 1
-    got = mixing.sainte_lague(weights, seats)
-    assert sum(got.values()) == seats and sorted(got.values()) == sorted(plain.values())
+        free = [k for k in weights if weights[k] > 0 and got[k] < caps.get(k, math.inf)]
+        if free:
+            got[min(free, key=lambda k: (-weights[k] / (2 * got[k] + 1), k))] += 1
+    return got
+
+
+MANY = {f"s{i:02}": (i * 37 % 23) ** 2 + 0.5 for i in range(40)}
 
 
-def test_caps_bind():
-    assert mixing.sainte_lague({"a": 9, "b": 1}, 10, {"a": 3}) == {"a": 3, "b": 7}
-    assert mixing.sainte_lague({"a": 9, "b": 1}, 100, {"a": 3, "b": 4}) == {"a": 3, "b": 4}
+@pytest.mark.parametrize("weights,seats,caps", [({"a": 53, "b": 24, "c": 23}, 7, {}), ({"a": 1, "b": 1, "c": 1}, 2, {}), ({"b": 1, "a": 1}, 3, {}), ({"a": 10, "b": 0.001}, 1000, {}), ({"a": 5.5, "b": 3, "c": 1.2, "d": 0.3, "e": 0}, 97, {}), ({"a": 9, "b": 1}, 10, {"a": 3}), ({"a": 9, "b": 1}, 100, {"a": 3, "b": 4}), (MANY, 12, {}), (MANY, 5000, {"s01": 7, "s05": 300, "s11": 0})])
+def test_sainte_lague(spark, scratch, weights, seats, caps):
+    assert seats_of(spark, scratch, weights, seats, caps) == by_quotients(weights, seats, caps)
 
 
 def mixture(spark):
@@ -203,6 +226,12 @@ def test_mixture(spark, scratch, monkeypatch, shard):
     s = {r.source: r for r in shares.collect()}
     assert set(s) == {"big", "small", "none", "null"} and s["none"].tokens == 0 and s["null"].target_share == 0
     assert abs(s["small"].share - 1 / 3) < 0.03 and s["small"].most_repeats <= 4 and s["big"].most_repeats <= 1
+    tokens = {k: sum(r.n_tokens for r in mixing.token_counts(docs).collect() if (r.source or "").strip().lower() == k and r.doc_id is not None) for k in ("big", "small")}
+    total = int(min(tokens["big"] / 60, tokens["small"] * 4 / 30) * 90)
+    quota = by_quotients({"big": 60, "small": 30}, total // 64, {"big": tokens["big"] // 64, "small": tokens["small"] * 4 // 64})
+    parts = max(1, math.ceil(350 / shard))
+    for k, blocks in quota.items():  # half a block, or half of the largest document, in each shard
+        assert abs(s[k].tokens - blocks * 64) <= parts * max(64, max(r.n_tokens for r in mixing.token_counts(docs).collect())) / 2 + 64
     again = mixing.mix(docs, targets, scratch, block=64)[0]
     assert sorted(map(tuple, chosen.collect())) == sorted(map(tuple, again.collect()))
 
