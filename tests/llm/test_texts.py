@@ -175,12 +175,16 @@ def test_perplexity_and_shares(spark, scratch, monkeypatch, bucket):
     texts = [[w for x in sentence(rng, rng.randrange(0, 60)) for w in ("the", x)] for _ in range(25)]
     texts[4] = texts[4][:10] * 12
     texts[5], texts[6], texts[7], texts[8] = [], ["one"], ["one", "two"], texts[9]
+    for i in (12, 13, 16, 17, 20, 21):  # English ones, which make a hot trigram
+        texts[i] = ["the", "lo", "the"] * (15 + i)
+    langs = [["en", "en", "und", "fr"][i % 4] for i in range(25)]
     docs = [(i, " ".join(t), ["en", " EN", None, "fr"][i % 4]) for i, t in enumerate(texts)] + [(99, None, "en"), (None, "a b c", "en")]
     got = {r.doc_id: r for r in repetition.perplexities(spark.createDataFrame(docs, "doc_id long, text string, lang string").withColumn("n", F.lit(1)), scratch).collect()}
     if bucket == 60:
-        assert repetition.hot_words(spark.createDataFrame(docs, "doc_id long, text string, lang string"), len(docs))[1]
+        _, hot, hot3 = repetition.hot_words(spark.createDataFrame([(i, x, y) for (i, x, _), y in zip(docs, langs)], "doc_id long, text string, lang string"), 25)
+        assert hot and hot3
     assert set(got) == {*range(25), 99} and got[0].lang == got[1].lang == "en" and got[2].lang == "und"
-    for i, want in enumerate(kneser_ney(texts)):
+    for i, want in enumerate(kneser_ney([[f"{lang}:{w}" for w in t] for lang, t in zip(langs, texts)])):
         assert (got[i].n_repeated, got[i].n_words) == share(" ".join(texts[i]))
         assert got[i].perplexity is None if want is None else abs(math.log(got[i].perplexity) - want) < 1e-4
 
