@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import pickle
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,8 @@ DIMS, WIDTH = 32, 0.7
 FIRST_GRIDS, FIRST_DENSITY = 4, 4
 GRIDS, DENSITY = 16, 2
 SIGNS = ["s1", "s2", "s3", "s4"]  # 256 bits
-AT_ONCE = 8192  # seeds or groups that are broadcast together (3 MB)
+AT_ONCE = 8192  # seeds that are broadcast together (3 MB)
+GROUPS = 65_536  # groups whose centres are broadcast together (25 MB)
 TASK_MEMBERS, TASK_QUERIES = 8192, 8192
 
 
@@ -222,14 +224,24 @@ def centres(members: DataFrame) -> DataFrame:
 def verified(points: DataFrame, scratch: Scratch, cosine: float, least: int) -> DataFrame:
     """(g, n, first_id, c) of the groups in which any two members reach the cosine and no other point does with any.
 
+    In blocks of about GROUPS groups, whose centres each task holds.
+    """
+    c = scratch.put("centres", centres(points.where("g >= 0"))).where(F.col("n") >= least)
+    blocks = max(1, math.ceil(c.count() / GROUPS))
+    part = lambda k: c.where(F.pmod(F.xxhash64("g"), F.lit(blocks)) == k) if blocks > 1 else c
+    return reduce(DataFrame.unionByName, [verified_block(points, part(k), cosine) for k in range(blocks)])
+
+
+def verified_block(points: DataFrame, c: DataFrame, cosine: float) -> DataFrame:
+    """The groups of ``c`` that are right, as of ``verified``.
+
     Exact: with r the greatest angle of a member to its group's centre and t that of the cosine, two members can only
     miss it if one is more than t / 2 from the centre, and an outside point can only reach it within r + t.  Those
     points are held against all members; groups and such points are divided among tasks, nothing is collected.
     """
     spark = points.sparkSession
     members = points.where("g >= 0")
-    c = scratch.put("centres", centres(members)).where(F.col("n") >= least)
-    t = c.orderBy("g").select("g", "c").toArrow()  # one row for each group
+    t = c.orderBy("g").select("g", "c").toArrow()  # at most about GROUPS rows
     gs = t["g"].to_numpy()
     sent = spark.sparkContext.broadcast(pickle.dumps((gs, b"".join(t["c"].to_pylist()))))
 
@@ -338,20 +350,25 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select(F.col("first_id").alias("first_topic_id"), F.col("id").alias("topic_id"))
 
 
-def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(first_topic_id, size, typical): every group with its size and the five topics nearest to its mean direction."""
-    m, g = similar_groups(table(spark, sf_dir, "topics"), "id", "embedding", Scratch(spark))
+def densest_members(members: DataFrame, scratch: Scratch, most: int = 5) -> DataFrame:
+    """(first_id, typical): of each group the ``most`` members of its densest cells, by how many of the group share a
+    member's cell in all grids together, the smaller id first among equals."""
+    m = members.select("first_id", "id", "v")
+    basis = principal_directions(sample(m.select("id", "v"), m.count()), DIMS)
+    grid = grid_cells(m.select("id", "v"), Seeds(scratch.spark), basis, 0, 2.0)  # no seed: all points
+    cells = scratch.put("typical_cells", grid.select("cell", "id").join(m.select("first_id", "id"), "id"))
+    n = cells.groupBy("first_id", "cell").agg(F.count(F.lit(1)).alias("n"))
+    dense = cells.join(n, ["first_id", "cell"]).groupBy("first_id", "id").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("first_id").orderBy(F.desc("n"), "id"))
+    few = dense.withColumn("place", place).where(F.col("place") <= most)
+    return few.groupBy("first_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("typical"))
 
-    def closeness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cos = np.einsum("ij,ij->i", unit(unpacked(b.column(2))), np.frombuffer(b"".join(b.column(3).to_pylist()), "f4").reshape(-1, DIM))
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(cos.round(5), pa.float64())], names=["first_id", "id", "cos"])
-
-    few = F.broadcast(g.select("first_id", "c")) if g.count() <= 10_000 else g.select("first_id", "c")
-    near = m.join(few, "first_id").select("first_id", "id", "v", "c").mapInArrow(closeness, "first_id long, id long, cos double")
-    rank = F.row_number().over(Window.partitionBy("first_id").orderBy(F.desc("cos"), "id"))
-    top = near.withColumn("rank", rank).where("rank <= 5").groupBy("first_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("t"))
-    return g.join(top, "first_id").select(F.col("first_id").alias("first_topic_id"), F.col("n").alias("size"), F.col("t.id").alias("typical"))
+
+def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(first_topic_id, size, typical): every group with its size and the five topics of its densest cells."""
+    s = Scratch(spark)
+    m, g = similar_groups(table(spark, sf_dir, "topics"), "id", "embedding", s)
+    return g.join(densest_members(m, s), "first_id").select(F.col("first_id").alias("first_topic_id"), F.col("n").alias("size"), "typical")
 
 
 QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters}

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigraph.llm.vectors import exact_cosine, packed, sample, unit, unpacked, usable
+from lexigraph.llm.vectors import SAMPLE, exact_cosine, packed, sample, unit, unpacked, usable
 from lexigraph.session import Scratch, table
 
 PART = 16  # vectors of the sample for one centroid
@@ -22,7 +22,8 @@ REPLICATE, PROBE = 0.02, 0.25  # distance ratios beyond the nearest centroid
 SLACK = 0.1  # and, for vectors far from every centroid, squared distance beyond the nearest
 RING, RINGS = 0.25, 16  # it is known in which rings of this width around each centroid members lie
 TASK_MEMBERS, TASK_QUERIES = 8192, 16_384
-COMPLETE = 4096  # up to so many centroids, their graph is complete
+ENTRIES, DEGREE = 8, 512  # entries of the graph for each square root of a centroid; centroids that an entry leads to
+SHARE, MOST_SAMPLE = 8, 200_000  # the index is fitted on an eighth of the vectors, between 20,000 and so many
 
 
 def balanced_centroids(x: np.ndarray, most: int, seed: int = 7) -> np.ndarray:
@@ -78,40 +79,32 @@ def spread_out(c: np.ndarray, n: int) -> np.ndarray:
 
 
 class Centroids:
-    """The centroids, the posting list of each, and a graph of their nearest ones, searched from a few entries along
-    its edges.  Up to COMPLETE centroids the graph is complete, so the search is one matrix product.
+    """The centroids, the posting list of each, and a graph to search them: entries spread over all regions, each with
+    edges to the DEGREE centroids nearest to it.  A vector goes to its nearest entry and along its edges.
 
     ``occupied`` tells in which rings around each centroid there are members; unknown, everywhere.
     """
 
-    def __init__(self, c: np.ndarray, lists: np.ndarray, occupied: np.ndarray | None = None, degree: int = 24):
+    def __init__(self, c: np.ndarray, lists: np.ndarray, graph: tuple[np.ndarray, np.ndarray] | None = None, occupied: np.ndarray | None = None):
         self.c, self.lists, self.sq = c, lists, (c * c).sum(1)
         self.occupied = np.concatenate([np.zeros((len(c), 1), "i8"), np.cumsum(occupied if occupied is not None else np.ones((len(c), RINGS), bool), axis=1)], axis=1)
-        self.complete = len(c) <= COMPLETE
-        if not self.complete:
-            self.edges = np.concatenate([np.argpartition(self.sq - 2 * c[i : i + 512] @ c.T, degree, axis=1)[:, : degree + 1] for i in range(0, len(c), 512)])
-            self.entries = spread_out(c, 2 * math.ceil(len(c) ** 0.5))
-
-    def near(self, x: np.ndarray, width: int = 64) -> tuple[np.ndarray | None, np.ndarray]:
-        """(centroid numbers, squared distances), a row for each vector; without numbers, of every centroid in order.
-        Repeated numbers are infinitely far."""
-        if self.complete:
-            s = x @ (-2 * self.c.T)
-            s += 1 + self.sq
-            return None, s
-        ids = np.broadcast_to(self.entries, (len(x), len(self.entries)))
-        d = 1 + self.sq[ids] - 2 * x @ self.c[self.entries].T
-        for _ in range(12):
-            best = np.argpartition(d, min(width, d.shape[1]) - 1, axis=1)[:, :width]
-            ids, d = np.take_along_axis(ids, best, 1), np.take_along_axis(d, best, 1)
-            front = np.take_along_axis(ids, np.argsort(d, axis=1)[:, :8], 1)
-            new = np.sort(np.concatenate([ids, self.edges[front].reshape(len(x), -1)], 1), axis=1)
-            far = 1 + self.sq[new] - 2 * np.einsum("bd,bmd->bm", x, self.c[new])
-            far[:, 1:][new[:, 1:] == new[:, :-1]] = np.inf
-            done = np.array_equal(np.sort(d, 1)[:, :8], np.sort(far, 1)[:, :8])
-            ids, d = new, far
-            if done:
-                break
+        self.entries, self.edges = graph or self.graph()
+
+    def graph(self) -> tuple[np.ndarray, np.ndarray]:
+        entries, k = spread_out(self.c, ENTRIES * math.ceil(len(self.c) ** 0.5)), min(DEGREE, len(self.c))
+        near = [np.argpartition(self.sq - 2 * self.c[entries[i : i + 256]] @ self.c.T, k - 1, axis=1)[:, :k] for i in range(0, len(entries), 256)]
+        return entries, np.concatenate(near).astype("i4")
+
+    def near(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(centroid numbers, squared distances), a row for each unit vector."""
+        entry = (self.sq[self.entries] - 2 * x @ self.c[self.entries].T).argmin(1)
+        ids = self.edges[entry]
+        d = np.empty(ids.shape, "f4")
+        order = np.argsort(entry, kind="stable")
+        cut = np.flatnonzero(np.r_[True, entry[order][1:] != entry[order][:-1], True]) if len(x) else [0]
+        for lo, hi in zip(cut[:-1], cut[1:]):
+            rows, to = order[lo:hi], self.edges[entry[order[lo]]]
+            d[rows] = x[rows] @ (-2 * self.c[to].T) + (1 + self.sq[to])
         return ids, d
 
 
@@ -125,12 +118,11 @@ def places(x: np.ndarray, index: Centroids, reach: float, probe: float, replicat
     """
     ids, sq = index.near(x)
     d1 = np.maximum(1e-12, sq.min(1, keepdims=True))
-    number = (lambda i, j: j) if ids is None else (lambda i, j: ids[i, j])
     mi, mj = np.nonzero(sq <= d1 * (1 + replicate) ** 2)
-    mc = number(mi, mj)
+    mc = ids[mi, mj].astype("i8")
     ring = np.minimum(RINGS - 1, np.sqrt(np.maximum(0, sq[mi, mj])) / RING).astype("i8")
     qi, qj = np.nonzero(sq <= np.minimum(d1 * (1 + probe) ** 2, d1 + SLACK))
-    qc, d = number(qi, qj), np.sqrt(np.maximum(0, sq[qi, qj]))
+    qc, d = ids[qi, qj].astype("i8"), np.sqrt(np.maximum(0, sq[qi, qj]))
     lo = np.minimum(RINGS - 1, np.maximum(0, (d - reach) / RING - 1e-3)).astype("i8")
     hi = np.minimum(RINGS - 1, (d + reach) / RING + 1e-3).astype("i8") + 1
     ok = index.occupied[qc, hi] > index.occupied[qc, lo]
@@ -143,29 +135,28 @@ def nearest(points: DataFrame, scratch: Scratch, k: int = 5, min_cosine: float =
     """(id, near): for every point the at most k most similar other points of cosine >= min_cosine, best first and the
     smaller id first among equals, as array<struct<far double, id long>> with far = -cosine.
 
-    ``points`` (id, v) has distinct ids.  The index is fitted on a sample of about 20,000 vectors, but every vector is
-    a member and a query.  A list with more members or queries than a task should hold is divided, each part of the one
+    ``points`` (id, v) has distinct ids.  The index is fitted on a sample of an eighth of the vectors, from 20,000
+    to 200,000, but every vector is a member and a query.  A list with more members or queries than a task should hold is divided, each part of the one
     against each part of the other, so nothing is dropped and no task holds more than 8,192 and 16,384.
     """
     spark = points.sparkSession
     n = points.count()
-    s = sample(points, n)
+    s = sample(points, n, min(MOST_SAMPLE, max(SAMPLE, n // SHARE)))
     if not len(s):
         return spark.createDataFrame([], "id long, near array<struct<far:double,id:long>>")
-    c = balanced_centroids(s, max(PART, math.ceil(len(s) / 65_536)))
+    c = balanced_centroids(s, PART)
     index = Centroids(c, np.zeros(len(c), "i8"))
     ids, sq = index.near(s)
-    nearest_c = sq.argmin(1) if ids is None else ids[np.arange(len(s)), sq.argmin(1)]
+    nearest_c = ids[np.arange(len(s)), sq.argmin(1)]
     lists = joined(c, np.bincount(nearest_c, minlength=len(c)) * (n / len(s)))
     reach = math.sqrt(max(0.0, 2 - 2 * min_cosine)) + 1e-3
-    sent = spark.sparkContext.broadcast(pickle.dumps((c, lists)))
+    sent = spark.sparkContext.broadcast(pickle.dumps((c, lists, (index.entries, index.edges))))
 
     def placed(batches: Iterator[pa.RecordBatch], occupied: np.ndarray | None = None):
         index = Centroids(*pickle.loads(sent.value), occupied)
         for b in batches:
-            step = 1024 if index.complete else 256
-            for lo in range(0, b.num_rows, step):
-                part = b.slice(lo, step)
+            for lo in range(0, b.num_rows, 8192):
+                part = b.slice(lo, 8192)
                 yield part, places(unit(unpacked(part.column(1))), index, reach, probe, REPLICATE)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +165,7 @@ def nearest(points: DataFrame, scratch: Scratch, k: int = 5, min_cosine: float =
                 k, m = np.unique(key, return_counts=True)
                 yield pa.record_batch({"role": pa.array([role] * len(k), pa.int32()), "key": pa.array(k), "m": pa.array(m)})
 
-    # At most 18 rows for each centroid, of which there are fewer than vectors in the sample.
+    # At most 18 rows for each centroid, of which there are fewer than vectors in the sample, 200,000 at most.
     sizes = points.mapInArrow(count, "role int, key long, m long").groupBy("role", "key").agg(F.sum("m").alias("m")).toArrow()
     role, key, m = (sizes[x].to_numpy() for x in ("role", "key", "m"))
     split = np.ones((len(c), 2), "i8")

@@ -52,6 +52,15 @@ def test_groups(spark, scratch, seed):
     assert len(want) and sum(r.n for r in groups.collect()) == len(want)
 
 
+def test_typical_members_of_the_densest_cell(spark, scratch):
+    rng = np.random.default_rng(9)
+    a, b = rng.standard_normal((2, DIM)) * 2
+    rows = [(i, a + rng.standard_normal(DIM) * (0.001 if i % 2 else 0.8)) for i in range(1, 15)] + [(100 + i, b + rng.standard_normal(DIM) * 0.3) for i in range(6)]
+    m, g = clusters.similar_groups(frame(spark, rows), "id", "embedding", scratch)
+    t = {r.first_id: r.typical for r in clusters.densest_members(m, scratch).collect()}
+    assert set(t) == {1, 100} == {r.first_id for r in g.collect()} and t[1] == [1, 3, 5, 7, 9] and set(t[100]) <= set(range(100, 106))
+
+
 def test_a_chain_is_no_group(spark, scratch):
     rng = np.random.default_rng(3)
     a, b = np.linalg.qr(rng.standard_normal((DIM, 2)))[0].T
@@ -84,15 +93,16 @@ def test_next_to_nothing(spark, scratch, rows):
     assert clusters.similar_groups(df, "id", "embedding", scratch)[0].count() == 0
 
 
-def test_graph_search_agrees_with_the_complete_graph(monkeypatch):
+def test_graph_search_finds_the_nearest_centroids(monkeypatch):
     rng = np.random.default_rng(5)
-    c = (rng.standard_normal((20, DIM))[rng.integers(0, 20, 600)] + rng.standard_normal((600, DIM)) * 0.2).astype("f4")
+    c = (rng.standard_normal((60, DIM))[rng.integers(0, 60, 2000)] + rng.standard_normal((2000, DIM)) * 0.2).astype("f4")
     c /= np.linalg.norm(c, axis=1, keepdims=True)
-    x = c[:100]
-    whole = neighbors.Centroids(c, np.arange(600)).near(x)[1]
-    monkeypatch.setattr(neighbors, "COMPLETE", 10)
-    ids, d = neighbors.Centroids(c, np.arange(600)).near(x)
-    assert (ids[np.arange(100), d.argmin(1)] == whole.argmin(1)).mean() >= 0.9
+    x = c[:300] + rng.standard_normal((300, DIM)).astype("f4") * 0.02
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    monkeypatch.setattr(neighbors, "DEGREE", 100)
+    ids, d = neighbors.Centroids(c, np.arange(2000)).near(x)
+    assert ids.shape == (300, 100) and np.allclose(d, ((x[:, None] - c[ids]) ** 2).sum(2), atol=1e-4)
+    assert (ids[np.arange(300), d.argmin(1)] == (x @ c.T).argmax(1)).mean() >= 0.98
 
 
 def test_large_lists_are_divided(spark, scratch, monkeypatch):
