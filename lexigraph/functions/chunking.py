@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from lexigraph.functions.text import ABBREVIATIONS
 
 TARGET_WORDS, LEAST_WORDS = 500, 100
+BATCH_WORDS = 500_000
 _SHORT = frozenset(ABBREVIATIONS)
 
 
@@ -76,14 +77,26 @@ def chunk_text(text: str | None, target: int = TARGET_WORDS, least: int = LEAST_
     return [c for c in out if len(c.split()) >= least]
 
 
+def batch_of(rows: list[tuple[int, int, str, int]]) -> pa.RecordBatch:
+    i, n, c, k = zip(*rows)
+    return pa.record_batch({"id": pa.array(i, pa.int64()), "chunk_index": pa.array(n, pa.int64()), "text": pa.array(c, pa.string()), "word_count": pa.array(k, pa.int64())})
+
+
 def chunked(docs: DataFrame, id_col: str, text_col: str, target: int = TARGET_WORDS, least: int = LEAST_WORDS) -> DataFrame:
     """(id, chunk_index, text, word_count) of every document's chunks; each text is one record of its task."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            rows, words = [], 0  # of many short texts, or of one long one
             for i, text in zip(b.column(0).to_pylist(), b.column(1)):
-                c = chunk_text(text.as_py(), target, least)
-                if c:
-                    yield pa.record_batch({"id": pa.array([i] * len(c), pa.int64()), "chunk_index": pa.array(range(len(c)), pa.int64()), "text": pa.array(c, pa.string()), "word_count": pa.array([len(x.split()) for x in c], pa.int64())})
+                for n, c in enumerate(chunk_text(text.as_py(), target, least)):
+                    k = len(c.split())
+                    rows.append((i, n, c, k))
+                    words += k
+                if words > BATCH_WORDS:
+                    yield batch_of(rows)
+                    rows, words = [], 0
+            if rows:
+                yield batch_of(rows)
 
     return docs.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS id", f"`{text_col}` AS text").mapInArrow(kernel, "id long, chunk_index long, text string, word_count long")

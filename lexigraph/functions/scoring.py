@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexigraph.functions.text import TOPIC_STOPLIST, strip, word_count
+
 
 def pmi(both: Column, first: Column, second: Column, n: Column) -> Column:
     """Pointwise mutual information, natural log; 0 where a count is 0."""
@@ -44,3 +46,24 @@ def hsl_hex(hue: Column, saturation: float = 0.7, lightness: float = 0.6) -> Col
 
 def sphere_scale(books: Column, most: Column) -> Column:
     return 0.2 + 0.8 * F.sqrt(books / F.nullif(most, F.lit(0)))
+
+
+def rescaled(similarity: Column) -> Column:
+    """Cosines from 0.5 to 1 stretched over 0 to 1; less is 0."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (similarity - 0.5) / 0.5))
+
+
+# The parts of topic_quality and the number of topics wanted.
+SEMANTIC, WORD_COUNT, STOPLIST, LENGTH, COUNT, WANTED = 0.40, 0.25, 0.15, 0.10, 0.10, 5
+
+
+def topic_quality(topics: Column, semantic: Column) -> Column:
+    """How good a list of topics is, 0 to 1: its F1 of best cosines with the right ones (``semantic``), topics of two to
+    five words, none of the stop list, none longer than six words, five of them.  0 without a topic."""
+    t = F.filter(F.transform(topics, lambda x: F.lower(strip(x))), lambda x: x.isNotNull() & (x != ""))
+    n = F.size(t)
+    mean = lambda f: F.aggregate(t, F.lit(0.0), lambda a, x: a + f(x)) / n
+    words = mean(lambda x: F.when(word_count(x).between(2, 5), 1.0).when(word_count(x) == 6, 0.5).otherwise(0.0))
+    stop, long = mean(lambda x: F.when(x.isin(TOPIC_STOPLIST), 0.0).otherwise(1.0)), mean(lambda x: F.when(word_count(x) > 6, 0.0).otherwise(1.0))
+    count = F.greatest(F.lit(0.0), 1 - F.abs(n - WANTED) * 0.2)
+    return F.when(n > 0, SEMANTIC * semantic + WORD_COUNT * words + STOPLIST * stop + LENGTH * long + COUNT * count).otherwise(0.0)

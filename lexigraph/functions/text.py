@@ -2,20 +2,35 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values.
-TOPIC_STOPLIST = (
-    "manipulation relationships technology society nature life death love power time people world change future communication "
-    "conflict loss survival identity freedom control trust fear growth knowledge science culture politics art history topics"
-).split()
+# Single words that are no topics.
+TOPIC_STOPLIST = [
+    "manipulation", "relationships", "technology", "society", "nature", "life", "death", "love", "power", "time",
+    "people", "world", "change", "future", "communication", "conflict", "loss", "survival", "identity", "freedom",
+    "control", "trust", "fear", "growth", "knowledge", "science", "culture", "politics", "art", "history", "topics",
+]
+# Entities and their characters, in the order of their replacement.
 ENTITIES = [("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&rsquo;", "’"), ("&lsquo;", "‘"), ("&rdquo;", "”"), ("&ldquo;", "“"), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&nbsp;", " "), (" ", " ")]
-BLOCK_TAGS = "p div h1 h2 h3 h4 h5 h6 li blockquote tr table section article aside figcaption figure main details summary dd dt".split()
-ABBREVIATIONS = "mr mrs ms dr prof sr jr st vs etc inc ltd co corp dept gen gov sgt cpl pvt capt col maj rev hon pres approx vol no fig ed trans repr".split()
+# Elements that are paragraphs of their own.
+BLOCK_TAGS = [
+    "p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "tr", "table", "section", "article",
+    "aside", "figcaption", "figure", "main", "details", "summary", "dd", "dt",
+]
+# Words whose full stop ends no sentence.
+ABBREVIATIONS = [
+    "mr", "mrs", "ms", "dr", "prof", "sr", "jr", "st", "vs", "etc", "inc", "ltd", "co", "corp", "dept", "gen",
+    "gov", "sgt", "cpl", "pvt", "capt", "col", "maj", "rev", "hon", "pres", "approx", "vol", "no", "fig", "ed",
+    "trans", "repr",
+]
+# Tags that say nothing, what they stand before and behind in others, and how a key of the answer's
+# format shows in a topic.
 NOISE_TAGS = ["general", "fiction", "unknown", "adult", "non-fiction", "nonfiction"]
+TAG_PREFIX, TAG_SUFFIX = r"(?i)^(?:fiction|general|non-fiction)\s*[-–/]\s*", r"(?i)\s*[-–/]\s*(?:general|fiction)$"
 LEAKED_KEY = r"""['"]\s*,\s*['"](?:reason|details|passage[_ ]?(?:context|quote|relevance)|text[_ ]content|relevance)"""
 
 
@@ -113,7 +128,7 @@ def parse_topics(c: Column, most: int = 5) -> Column:
 def clean_tags(tags: Column, most: int = 10) -> Column:
     """Tags without noise and noise affixes, each once whatever its case, none that is part of a longer one."""
     t = F.filter(tags, lambda x: x.isNotNull() & ~F.lower(F.trim(x)).isin(NOISE_TAGS))
-    t = F.transform(t, lambda x: F.trim(F.regexp_replace(F.trim(F.regexp_replace(x, r"(?i)^(?:fiction|general|non-fiction)\s*[-–/]\s*", "")), r"(?i)\s*[-–/]\s*(?:general|fiction)$", "")))
+    t = F.transform(t, lambda x: F.trim(F.regexp_replace(F.trim(F.regexp_replace(x, TAG_PREFIX, "")), TAG_SUFFIX, "")))
     t = F.filter(t, lambda x: (x != "") & ~F.lower(x).isin(NOISE_TAGS))
     once = F.filter(t, lambda x, i: ~F.exists(F.slice(t, 1, i), lambda y: F.lower(y) == F.lower(x)))
     placed = F.array_sort(F.transform(once, lambda x, i: F.struct((-F.length(x)).alias("n"), i.alias("i"), x.alias("t"))))
@@ -143,12 +158,60 @@ def clean_author(c: Column) -> Column:
     return F.when(s.isin("", "Unknown", "[Unknown Author]"), None).when(F.size(F.split(s, r"\|")) == 2, turned).otherwise(s)
 
 
+def _decomposed() -> tuple[str, str]:
+    """Letters of Latin blocks that decompose to one ASCII letter, and those letters, by the rule of Unicode (NFKD)."""
+    pairs = [(c, "".join(x for x in unicodedata.normalize("NFKD", c) if ord(x) < 128)) for c in map(chr, [*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0xFF21, 0xFF5B)])]
+    pairs = [(c, a) for c, a in pairs if len(a) == 1 and a.isalnum()]
+    return "".join(c for c, _ in pairs), "".join(a for _, a in pairs)
+
+
+PLAIN_FROM, PLAIN_TO = _decomposed()
+
+
 def slug(c: Column) -> Column:
-    """Lower case a-z and digits joined by '_'; accents of Latin letters are dropped."""
-    plain = F.translate(F.lower(c), "áàâäãåéèêëíìîïóòôöõúùûüýÿñç", "aaaaaaeeeeiiiiooooouuuuyync")
+    """Lower case a-z and digits joined by '_'; Latin letters lose their accents, other characters go."""
+    plain = F.lower(F.translate(c, PLAIN_FROM, PLAIN_TO))
     return chain(plain, [(r"[^\x00-\x7f]", ""), (r"[^a-z0-9]+", "_"), ("^_+|_+$", "")])
 
 
+def short_title(c: Column) -> Column:
+    """A title up to a colon, semicolon or opening bracket."""
+    return F.trim(F.regexp_extract(c, r"(?s)^([^:;(]*)", 1))
+
+
+def last_name(author: Column) -> Column:
+    """What stands before the comma of 'Last, First', else the last word."""
+    return F.when(author.contains(","), F.trim(F.split_part(author, F.lit(","), F.lit(1)))).otherwise(F.regexp_extract(author, r"(\S+)\s*$", 1))
+
+
+def file_name(number: Column, author: Column, title: Column) -> Column:
+    return F.concat_ws("_", number.cast("string"), slug(last_name(author)), F.concat(slug(short_title(title)), F.lit(".epub")))
+
+
+def last_number(c: Column) -> Column:
+    """The last whole number in a program's output, null without any."""
+    n = F.regexp_extract_all(c, F.lit(r"\b(\d+)\b"), F.lit(1))
+    return F.when(F.size(n) > 0, F.element_at(n, -1).cast("long"))
+
+
+def first_spellings(topics: Column) -> Column:
+    """Topics in lower case without blanks around them, each once, in order of their first mention; blank ones go."""
+    return F.array_distinct(F.filter(F.transform(topics, lambda t: F.lower(strip(t))), lambda t: t.isNotNull() & (t != "")))
+
+
+def progress_bar(done: Column, total: Column, width: int = 20) -> Column:
+    """'[####----] 50%'; empty without a total."""
+    part = F.when(total > 0, F.least(F.lit(1.0), done / total))
+    n = F.floor(part * width).cast("int")
+    bar = F.format_string("[%s] %d%%", F.concat(F.repeat(F.lit("#"), n), F.repeat(F.lit("-"), F.lit(width) - n)), F.floor(part * 100))
+    return F.when(part.isNotNull(), bar).otherwise("")
+
+
+def time_left(done: Column, total: Column, seconds: Column) -> Column:
+    """How long the rest takes at the rate so far; null before anything is done."""
+    return F.when(done > 0, duration((total - done) * seconds / done))
+
+
 def key_values(c: Column) -> Column:
     """map<string,string> of 'key: value' lines, keys in lower case; lines that begin with a blank don't count."""
     lines = F.filter(F.split(c, "\n"), lambda x: ~x.startswith(" ") & x.contains(":"))

@@ -113,14 +113,15 @@ def numbered(labels: DataFrame, scratch: Scratch) -> DataFrame:
     return labels.join(order, "label").select("node", "community")
 
 
-def moved_in_rounds(edges: DataFrame, mass: DataFrame, penalty: float, scratch: Scratch) -> DataFrame:
-    """(node, label) by synchronous local moves as joins, from every node alone until no node gains by a move.
+def moved_in_rounds(edges: DataFrame, mass: DataFrame, penalty: float, scratch: Scratch, start: DataFrame | None = None) -> DataFrame:
+    """(node, label) by synchronous local moves as joins, from every node alone (or the labels of ``start``) until no
+    node gains by a move.
 
     In each round half of the nodes, others each time, may move to the neighbouring community of greatest gain.  Moves
     made at once can undo each other: when three rounds bring no better quality, the best labels so far count.
     """
     both = scratch.put("big_both", both_ways(edges))
-    labels = mass.select("node", "mass", F.col("node").alias("label"))
+    labels = mass.join(start, "node").select("node", "mass", "label") if start is not None else mass.select("node", "mass", F.col("node").alias("label"))
     top, worse, r = -math.inf, 0, 0
     while True:
         size = labels.groupBy("label").agg(F.sum("mass").alias("held"))
@@ -146,15 +147,44 @@ def moved_in_rounds(edges: DataFrame, mass: DataFrame, penalty: float, scratch:
         r += 1
 
 
+def joined_levels(edges: DataFrame, mass: DataFrame, moved: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(vertices, edges, mass) of the graph of the communities ``moved``, those that have come apart divided; vertices
+    are (node, vertex)."""
+    inner = edges.join(moved.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(moved.select(F.col("node").alias("dst"), F.col("label").alias("b")), "dst").where("a = b").select("src", "dst")
+    vertex = scratch.put("big_vertex", moved.join(components(inner, scratch.fresh()), "node", "left").select("node", F.coalesce("component", "node").alias("vertex")))
+    a, b = vertex.select(F.col("node").alias("src"), F.col("vertex").alias("a")), vertex.select(F.col("node").alias("dst"), F.col("vertex").alias("b"))
+    e = edges.join(a, "src").join(b, "dst").where("a <> b").groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("weight").alias("weight"))
+    return vertex, e, mass.join(vertex, "node").groupBy(F.col("vertex").alias("node")).agg(F.sum("mass").alias("mass"))
+
+
+def gained(edges: DataFrame, mass: DataFrame, labels: DataFrame, penalty: float) -> float:
+    """The quality of a partition: the weight inside of communities less the penalty of their pairs of masses."""
+    e = edges.join(labels.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(labels.select(F.col("node").alias("dst"), F.col("label").alias("b")), "dst")
+    charged = mass.join(labels, "node").groupBy("label").agg(F.sum("mass").alias("m")).agg(F.sum(F.col("m") * F.col("m")).alias("m")).first()[0] or 0.0
+    return (e.where("a = b").agg(F.sum("weight")).first()[0] or 0.0) - penalty * charged / 2
+
+
 def leiden_by_levels(edges: DataFrame, mass: DataFrame, penalty: float, scratch: Scratch, seed: int, task_edges: int) -> DataFrame:
-    """(node, label) for components too large for one task: local moves in rounds, communities that have come apart
-    divided, and the graph of the communities again in the same way, until it fits in a task, where Leiden goes on, or
-    no two join.  ``mass`` (node, mass): what a pair is charged ``penalty`` for."""
+    """(node, label) for components too large for one task, passes of ``one_pass`` as long as they gain: the first from
+    every node alone, others from the communities so far.  ``mass`` (node, mass): what a pair is charged ``penalty`` for."""
+    edges, mass = scratch.put("pass_edges", edges.select("src", "dst", "weight")), scratch.put("pass_mass", mass.select("node", "mass"))
+    best, top = None, -math.inf
+    while True:
+        labels = scratch.put("pass_new", one_pass(edges, mass, penalty, scratch.fresh(), seed, task_edges, best))
+        q = gained(edges, mass, labels, penalty)
+        if q <= top + 1e-6 * abs(top):
+            return best if best is not None and q < top else labels
+        best, top = scratch.put("pass_best", labels), q
+
+
+def one_pass(edges: DataFrame, mass: DataFrame, penalty: float, scratch: Scratch, seed: int, task_edges: int, start: DataFrame | None = None) -> DataFrame:
+    """(node, label) by local moves in rounds, communities that have come apart divided, and the graph of the communities
+    again in the same way, until it fits in a task, where Leiden goes on, or no two join."""
     edges, mass = scratch.put("big_edges", edges), scratch.put("big_mass", mass)
     held = scratch.put("big_held", mass.select("node", F.col("node").alias("label")))  # node -> its vertex
     while True:
         count = edges.count()
-        if count <= task_edges:
+        if count <= task_edges and start is None:
             e = edges.join(mass.select(F.col("node").alias("src"), F.col("mass").alias("ms")), "src").join(mass.select(F.col("node").alias("dst"), F.col("mass").alias("md")), "dst")
 
             def task(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -165,18 +195,15 @@ def leiden_by_levels(edges: DataFrame, mass: DataFrame, penalty: float, scratch:
                     first.setdefault(m[v], v)
                 return pd.DataFrame({"label": list(m), "to": [first[c] for c in m.values()]})
 
-            new = e.groupBy(F.lit(0).alias("all")).applyInPandas(task, "label long, to long")
+            new = e.groupBy(F.lit(1).alias("all")).applyInPandas(task, "label long, to long")
             return held.join(new, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-        moved = moved_in_rounds(edges, mass, penalty, scratch)
-        inner = edges.join(moved.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(moved.select(F.col("node").alias("dst"), F.col("label").alias("b")), "dst").where("a = b").select("src", "dst")
-        vertex = scratch.put("big_vertex", moved.join(components(inner, scratch.fresh()), "node", "left").select("node", F.coalesce("component", "node").alias("vertex")))
+        moved = moved_in_rounds(edges, mass, penalty, scratch, start)
+        first, start = start is not None, None
+        vertex, e, m = joined_levels(edges, mass, moved, scratch)
         held = scratch.put("big_held", held.join(vertex.withColumnRenamed("node", "label"), "label").select("node", F.col("vertex").alias("label")))
-        if vertex.where("node <> vertex").isEmpty():
+        if not first and vertex.where("node <> vertex").isEmpty():
             return held
-        a, b = vertex.select(F.col("node").alias("src"), F.col("vertex").alias("a")), vertex.select(F.col("node").alias("dst"), F.col("vertex").alias("b"))
-        e = edges.join(a, "src").join(b, "dst").where("a <> b").groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("weight").alias("weight"))
-        edges = scratch.put("big_edges", e)
-        mass = scratch.put("big_mass", mass.join(vertex, "node").groupBy(F.col("vertex").alias("node")).agg(F.sum("mass").alias("mass")))
+        edges, mass = scratch.put("big_edges", e), scratch.put("big_mass", m)
 
 
 def communities(edges: DataFrame, scratch: Scratch, resolution: float = 0.001, kind: str = "cpm", seed: int = 42, task_edges: int = TASK_EDGES) -> DataFrame:
@@ -210,29 +237,38 @@ def communities(edges: DataFrame, scratch: Scratch, resolution: float = 0.001, k
     return numbered(scratch.put("comm_labels", labels), scratch)
 
 
-def sweep(edges: DataFrame, scratch: Scratch, low: float, high: float, n: int, seeds: int = 2, kind: str = "cpm") -> DataFrame:
+def sweep(edges: DataFrame, scratch: Scratch, low: float, high: float, n: int, seeds: int = 2, kind: str = "cpm", task_edges: int = TASK_EDGES) -> DataFrame:
     """(i, resolution, node, community): for each of n resolutions the best of several seeded partitions by quality.
 
     Every (component, resolution, seed) is a task, and the best seed is chosen for each component by itself, as the
-    quality is a sum over components.
+    quality is a sum over components.  Components too large for a task go through levels at each resolution.
     """
     grid = log_grid(low, high, n)
-    spark = edges.sparkSession
     scratch = scratch.fresh()
     e = scratch.put("sweep_edges", edges.select("src", "dst", "weight"))
     total = e.agg(F.sum("weight")).first()[0] or 0.0
-    comp = components(e, scratch)
+    placed = scratch.put("sweep_placed", e.join(components(e, scratch).select(F.col("node").alias("src"), "component"), "src"))
+    sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    small = placed.join(sizes.where(F.col("n") <= task_edges).select("component"), "component", "left_semi")
+    big = placed.join(sizes.where(F.col("n") > task_edges).select("component"), "component", "left_semi").select("src", "dst", "weight")
     runs = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(r).alias("resolution"), F.lit(s).alias("seed")) for i, r in enumerate(grid) for s in range(seeds)]))
-    placed = e.join(comp.select(F.col("node").alias("src"), "component"), "src").select("*", runs.alias("run")).select("src", "dst", "weight", "component", "run.*")
+    placed = small.select("*", runs.alias("run")).select("src", "dst", "weight", "component", "run.*")
 
     def task(key, pdf: pd.DataFrame) -> pd.DataFrame:
         c, i, r, s = key
         ed = list(zip(pdf["src"], pdf["dst"], pdf["weight"]))
         m = leiden(sorted(set(pdf["src"]) | set(pdf["dst"])), ed, r, kind, total, 42 + s)
-        size: dict[int, int] = {}
-        for v in m.values():
-            size[v] = size.get(v, 0) + 1
-        q = sum(w for a, b, w in ed if m[a] == m[b]) - r * sum(k * (k - 1) / 2 for k in size.values())
+        mass: dict[int, float] = {}
+        if kind == "cpm":
+            for v in m.values():
+                mass[v] = mass.get(v, 0.0) + 1
+            charged = r * sum(k * (k - 1) / 2 for k in mass.values())
+        else:
+            for a, b, w in ed:
+                mass[m[a]] = mass.get(m[a], 0.0) + w
+                mass[m[b]] = mass.get(m[b], 0.0) + w
+            charged = r * sum(k * k for k in mass.values()) / max(1e-12, 4 * total)
+        q = sum(w for a, b, w in ed if m[a] == m[b]) - charged
         first: dict[int, int] = {}
         for v in sorted(m):
             first.setdefault(m[v], v)
@@ -240,7 +276,61 @@ def sweep(edges: DataFrame, scratch: Scratch, low: float, high: float, n: int, s
 
     out = scratch.put("sweep_runs", placed.groupBy("component", "i", "resolution", "seed").applyInPandas(task, "component long, i int, resolution double, seed int, quality double, node long, label long"))
     best = out.groupBy("component", "i").agg(F.max(F.struct(F.round("quality", 9).alias("q"), (-F.col("seed")).alias("s"))).alias("b")).select("component", "i", (-F.col("b.s")).alias("seed"))
-    return out.join(best, ["component", "i", "seed"]).select("i", "resolution", "node", F.col("label").alias("community"))
+    got = out.join(best, ["component", "i", "seed"]).select("i", "resolution", "node", F.col("label").alias("community"))
+    if not big.isEmpty():
+        mass = both_ways(big).groupBy("node").agg(F.lit(1.0).alias("mass") if kind == "cpm" else F.sum("weight").alias("mass"))
+        for i, r in enumerate(grid):
+            labels = leiden_by_levels(big, mass, r if kind == "cpm" else r / max(1e-12, 2 * total), scratch.fresh(), 42, task_edges)
+            got = got.unionByName(labels.select(F.lit(i).alias("i"), F.lit(r).alias("resolution"), "node", F.col("label").alias("community")))
+    return got
+
+
+def surprise(edges: DataFrame, membership: DataFrame) -> DataFrame:
+    """One row: the surprise of a partition (node, community), edges * KL(share of them inside, share expected), natural
+    log; with ``membership`` by i, a row for each i."""
+    keys = [c for c in ("i",) if c in membership.columns]
+    m = membership.select(*keys, "node", "community")
+    e = edges.select("src", "dst").join(m.select(*keys, F.col("node").alias("src"), F.col("community").alias("a")), "src").join(m.select(*keys, F.col("node").alias("dst"), F.col("community").alias("b")), ["dst", *keys])
+    inner = e.groupBy(*keys).agg(F.count_if(F.col("a") == F.col("b")).alias("inner"), F.count(F.lit(1)).alias("m"))
+    pairs = m.groupBy(*keys, "community").agg(F.count(F.lit(1)).alias("k")).groupBy(*keys).agg(F.sum(F.col("k") * (F.col("k") - 1) / 2).alias("within"), F.sum("k").alias("n"))
+    x = inner.join(pairs, keys) if keys else inner.join(pairs)
+    q, p = F.col("inner") / F.col("m"), F.col("within") / F.nullif(F.col("n") * (F.col("n") - 1) / 2, F.lit(0.0))
+    term = lambda a, b: F.when((a > 0) & (b > 0), a * F.log(a / b)).otherwise(0.0)
+    return x.select(*keys, F.round(F.when(q > p, F.col("m") * (term(q, p) + term(1 - q, 1 - p))).otherwise(0.0), 6).alias("surprise"))
+
+
+def surprising(edges: DataFrame, scratch: Scratch, n: int = 12, task_edges: int = TASK_EDGES) -> DataFrame:
+    """(node, community) of great surprise.
+
+    Surprise rises with the edges inside of communities and falls with the pairs inside, so its best partition is best
+    for some exchange rate of the two, which is the resolution of CPM: of the partitions over a grid of resolutions
+    from a thousandth of the mean weight to all of it, the one of greatest surprise, the coarsest among equals.
+    """
+    scratch = scratch.fresh()
+    e = scratch.put("surprise_edges", edges.select("src", "dst", "weight"))
+    mean = e.agg(F.avg("weight")).first()[0]
+    if mean is None:
+        return scratch.spark.createDataFrame([], "node long, community long")
+    runs = scratch.put("surprise_runs", sweep(e, scratch, mean / 1000, mean, n, 1, "cpm", task_edges))
+    best = surprise(e, runs).orderBy(F.desc("surprise"), "i").first()
+    return numbered(runs.where(F.col("i") == best.i).select("node", F.col("community").alias("label")), scratch)
+
+
+def sweep_table(edges: DataFrame, runs: DataFrame, scratch: Scratch, least: float = 0.9, length: int = 2) -> DataFrame:
+    """(i, resolution, communities, significance, nmi, plateau, best): a row for each resolution of a sweep; nmi with the
+    next one, plateau whether it lies in a run of steady ones (ends included), best the recommended one."""
+    r = scratch.put("table_runs", runs)
+    one = r.groupBy("i", "resolution").agg(F.count_distinct("community").alias("communities"))
+    steady = scratch.put("table_nmi", stability(r))
+    flat = plateaus(steady, least, length).select(F.explode(F.sequence("first", "last")).alias("i")).distinct().withColumn("plateau", F.lit(True))
+    grid = [x.i for x in one.select("i").orderBy("i").collect()]  # a row for each resolution
+    sig = None
+    for i in grid:
+        q = partition_quality(edges, r.where(F.col("i") == i).select("node", "community"), 0.0).select(F.lit(i).alias("i"), "significance")
+        sig = q if sig is None else sig.unionByName(q)
+    sig = scratch.put("table_significance", sig)
+    best = recommended(sig, plateaus(steady, least, length), steady)
+    return one.join(sig, "i").join(steady, "i", "left").join(flat, "i", "left").withColumn("plateau", F.coalesce("plateau", F.lit(False))).withColumn("best", F.col("i") == best)
 
 
 def partition_quality(edges: DataFrame, membership: DataFrame, resolution: float) -> DataFrame:
@@ -300,13 +390,14 @@ def recommended(significance: DataFrame, runs: DataFrame, nmis: DataFrame) -> in
 
 
 def recluster(edges: DataFrame, membership: DataFrame, scratch: Scratch, least: int = 1000, resolution: float = 0.05, task_edges: int = TASK_EDGES) -> DataFrame:
-    """(node, community) with every community of ``least`` nodes or more divided at a finer resolution.
+    """(node, community) with every community of ``least`` nodes or more (ten at least) divided at a finer resolution;
+    one without an edge stays.
 
     The parts get numbers after the greatest one; the largest is numbered first.
     """
     scratch = scratch.fresh()
     m = scratch.put("re_members", membership.select("node", "community"))
-    mega = m.groupBy("community").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("community")
+    mega = m.groupBy("community").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(10, least)).select("community")
     inside = m.join(mega, "community")
     e = edges.join(inside.select(F.col("node").alias("src"), F.col("community").alias("a")), "src").join(inside.select(F.col("node").alias("dst"), F.col("community").alias("b")), "dst").where("a = b").select("src", "dst", "weight")
     if e.isEmpty():

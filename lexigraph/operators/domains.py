@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigraph.functions.scoring import hsl_hex
-from lexigraph.operators import community, graph, similarity
+from lexigraph.operators import community, graph, similarity, tables
 from lexigraph.session import Scratch
 
 
@@ -38,23 +38,29 @@ def cluster_graph(cents: DataFrame, k: int = 8, least: float = 0.3, alpha: float
     return e.select("src", "dst", "weight", F.lit("similarity").alias("type"))
 
 
-def kmeans(cents: DataFrame, n: int, seeds: int = 5, seed: int = 42) -> DataFrame:
+def kmeans(cents: DataFrame, n: int, seeds: int = 10, seed: int = 42) -> DataFrame:
     """(id, domain) by k-means, the best of several seeds by cost; no more domains than there are clusters."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     x = cents.select("id", array_to_vector("v").alias("features")).cache()
-    k = min(n, x.count())
-    if k < 2:
-        return cents.select("id", F.lit(0).alias("domain"))
-    models = [KMeans(k=k, seed=seed + i).fit(x) for i in range(seeds)]
-    best = min(models, key=lambda m: m.summary.trainingCost)
+    try:
+        k = min(n, x.count())
+        if k < 2:
+            return cents.select("id", F.lit(0).alias("domain"))
+        models = [KMeans(k=k, seed=seed + i).fit(x) for i in range(seeds)]
+        best = min(models, key=lambda m: m.summary.trainingCost)
+    finally:
+        x.unpersist()
     return best.transform(x).select("id", F.col("prediction").alias("domain"))
 
 
 def reassigned_outliers(membership: DataFrame, edges: DataFrame, most: float = 0.7, least_internal: float = 0.3) -> DataFrame:
     """(node, community) after clusters spread over many domains went to that of their heaviest neighbours, in order
-    of their participation; one after the other, as each move counts for the next.  A graph of clusters is small."""
+    of their participation; one after the other, as each move counts for the next, in one task.  More than
+    MOST_CLUSTERS clusters are an error."""
+    if membership.count() > MOST_CLUSTERS:
+        raise ValueError("too many clusters to reassign in one task")
 
     def task(pdf: pd.DataFrame) -> pd.DataFrame:
         of = {int(a): int(c) for a, c in zip(pdf["node"], pdf["community"])}
@@ -94,8 +100,40 @@ def super_clusters(cents: DataFrame, scratch: Scratch, resolution: float = 0.1,
     e = scratch.put("cluster_edges", cluster_graph(c, k, least))
     m = community.communities(e, scratch, resolution)
     m = reassigned_outliers(scratch.put("domains", m), e)
-    alone = c.select(F.col("id").alias("node")).join(m.select("node"), "node", "left_anti").select("node", (F.row_number().over(Window.orderBy("node")) + 1_000_000).cast("long").alias("community"))
-    return m.unionByName(alone).select(F.col("node").alias("id"), F.dense_rank().over(Window.orderBy("community")).alias("domain"))
+    alone = c.select(F.col("id").alias("node")).join(m.select("node"), "node", "left_anti").select("node", (-1 - F.col("node")).alias("community"))
+    all_ = scratch.put("super", m.unionByName(alone))
+    order = tables.numbered(all_.select("community").distinct(), "domain", [F.col("community")], scratch)
+    return all_.join(order, "community").select(F.col("node").alias("id"), F.col("domain").cast("int").alias("domain"))
+
+
+MOST_CLUSTERS = 1_000_000  # of a graph of clusters that one task reassigns
+
+
+def apply_labels(domain_of: DataFrame, labels: DataFrame, topics: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(domains, members): domains given the same label become one, numbered from 0 by how many clusters they hold.
+
+    ``labels`` (domain, label) must name every domain, else it is an error.  domains (id, label, clusters, topics, ids),
+    members (cluster_id, domain_id).
+    """
+    unnamed = domain_of.select("domain").distinct().join(labels.where("label is not null").select("domain"), "domain", "left_anti")
+    missing = [r.domain for r in unnamed.orderBy("domain").limit(20).collect()]
+    if missing:
+        raise ValueError(f"domains without a label: {missing}")
+    size = topics.where("cluster_id is not null").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("topics"))
+    c = domain_of.join(labels, "domain").join(size.withColumnRenamed("cluster_id", "id"), "id", "left")
+    g = c.groupBy("label").agg(F.count(F.lit(1)).alias("clusters"), F.coalesce(F.sum("topics"), F.lit(0)).alias("topics"), F.array_sort(F.collect_list("id")).alias("ids"))
+    d = scratch.put("labelled_domains", tables.numbered(g, "domain_id", [F.desc("clusters"), F.col("label")], scratch, 0))
+    members = d.select(F.explode("ids").alias("cluster_id"), "domain_id")
+    return d.select(F.col("domain_id").alias("id"), "label", "clusters", "topics", "ids"), members
+
+
+def regenerate(topics: DataFrame, vectors: DataFrame, scratch: Scratch, n: int = 25, method: str = "kmeans", resolution: float = 0.1) -> tuple[DataFrame, DataFrame]:
+    """(domains, members) made anew from the clusters: centroids, super-clusters, labels by their topics; see
+    ``apply_labels``."""
+    c = scratch.put("domain_centroids", centroids(topics, vectors))
+    d = scratch.put("super_clusters", kmeans(c, n) if method == "kmeans" else super_clusters(c, scratch, resolution))
+    l = domain_labels(topics, d).select("domain", F.coalesce(F.nullif("label", F.lit("")), F.concat(F.lit("domain "), "domain")).alias("label"))
+    return apply_labels(d, l, topics, scratch)
 
 
 def domain_labels(topics: DataFrame, domain_of: DataFrame, n: int = 3, min_label: int = 4) -> DataFrame:
@@ -116,7 +154,7 @@ def split_domain(cents: DataFrame, domain_of: DataFrame, domain: int, parts: int
 
 def universe(cents: DataFrame, domain_of: DataFrame) -> DataFrame:
     """(id, domain, x, y, z, colour): the clusters in three dimensions (principal components in place of a manifold
-    projection), each axis scaled to -1..1, coloured by the place of their domain on its first component."""
+    projection), each axis scaled to -1..1, coloured by the place of their domain's mean centroid on the first component of these."""
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
@@ -125,7 +163,9 @@ def universe(cents: DataFrame, domain_of: DataFrame) -> DataFrame:
     w = Window.partitionBy(F.lit(0))  # one row for each cluster
     scaled = lambda i: F.coalesce(-1 + 2 * (F.col("p")[i] - F.min(F.col("p")[i]).over(w)) / F.nullif(F.max(F.col("p")[i]).over(w) - F.min(F.col("p")[i]).over(w), F.lit(0.0)), F.lit(0.0))
     s = p.select("id", scaled(0).alias("x"), scaled(1).alias("y"), scaled(2).alias("z")).join(domain_of, "id", "left")
-    d = s.groupBy("domain").agg(F.avg("x").alias("m")).where("domain is not null")
+    dims = cents.select(F.posexplode("v").alias("i", "x"), "id").join(domain_of, "id").groupBy("domain", "i").agg(F.avg("x").alias("x"))
+    mean = dims.groupBy("domain").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("v")).select("domain", array_to_vector("v").alias("f"))
+    d = (PCA(k=1, inputCol="f", outputCol="p").fit(mean).transform(mean).select("domain", vector_to_array("p")[0].alias("m")) if mean.limit(2).count() > 1 else mean.select("domain", F.lit(0.0).alias("m"))).where("domain is not null")
     place = F.coalesce((F.col("m") - F.min("m").over(w)) / F.nullif(F.max("m").over(w) - F.min("m").over(w), F.lit(0.0)), F.lit(0.5))
     colours = d.select("domain", hsl_hex(330 * place).alias("colour"))
     return s.join(colours, "domain", "left").select("id", F.coalesce("domain", F.lit(-1)).alias("domain"), "x", "y", "z", F.coalesce("colour", F.lit("#888888")).alias("colour"))

@@ -90,10 +90,12 @@ def hub_diagnosis(degree: DataFrame) -> DataFrame:
 
 
 # Labels that join what has nothing in common.
-GENERIC_LABELS = (
-    "relationships technology society culture history nature life death love war family work home money power time people world change future past "
-    "furniture food travel art music communication education health science problem solution idea concept experience"
-).split()
+GENERIC_LABELS = [
+    "relationships", "technology", "society", "culture", "history", "nature", "life", "death", "love", "war",
+    "family", "work", "home", "money", "power", "time", "people", "world", "change", "future", "past", "furniture",
+    "food", "travel", "art", "music", "communication", "education", "health", "science", "problem", "solution",
+    "idea", "concept", "experience",
+]
 
 
 def top_hubs(degree: DataFrame, topics: DataFrame, n: int = 20) -> DataFrame:

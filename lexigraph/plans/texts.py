@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigraph.functions import chunking, text
+from lexigraph.functions import chunking, scoring, text
+from lexigraph.operators import matching
 from lexigraph.session import table
 
 
@@ -34,7 +35,7 @@ def s21_saved_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("chunk_id", F.trim("topic").alias("topic")).where("topic <> ''").distinct()
 
 
-def j18_catalogue_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+def j19_catalogue_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, catalogue_id): each book's first record of equal title form, one whose author matches before others."""
     from pyspark.sql import Window
 
@@ -45,6 +46,20 @@ def j18_catalogue_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("id", "catalogue_id", "ok")
 
 
+def j18_contained_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, catalogue_id, same_author): each book's first record whose title holds the book's, matching authors first."""
+    return matching.contained(table(spark, sf_dir, "books"), table(spark, sf_dir, "calibre_books"))
+
+
+def a31_topic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chunk_id, quality) of each chunk's raw topics, held against the labels of its links; equal topics count as similar."""
+    raw = table(spark, sf_dir, "chunk_topics").dropna(subset=["chunk_id"]).groupBy("chunk_id").agg(F.array_sort(F.collect_set(F.lower(text.strip(F.col("topic"))))).alias("t"))
+    l = table(spark, sf_dir, "chunk_topic_links").join(table(spark, sf_dir, "topics").select(F.col("id").alias("topic_id"), F.lower("label").alias("label")), "topic_id").groupBy("chunk_id").agg(F.collect_set("label").alias("g"))
+    d = raw.join(l, "chunk_id").withColumn("t", F.filter("t", lambda x: x != ""))
+    f1 = 2 * F.size(F.array_intersect("t", "g")) / F.nullif(F.size("t") + F.size("g"), F.lit(0))
+    return d.select("chunk_id", F.round(scoring.topic_quality(F.col("t"), f1), 6).alias("quality"))
+
+
 def t06_all_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, place, paragraph): all paragraphs of every document, from place 0 on."""
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.paragraphs(F.col("text"))).alias("place", "paragraph"))
@@ -78,7 +93,7 @@ def _lazy(source, key, columns):
 
 def queries() -> dict:
     q = {name: _lazy(source, key, columns) for name, source, key, columns in _PY}
-    return q | {"t05_chunks": t05_chunks, "t06_all_paragraphs": t06_all_paragraphs, "t09_all_word_chunks": t09_all_word_chunks, "t12_filtered_topics": t12_filtered_topics, "s21_saved_topics": s21_saved_topics, "j18_catalogue_match": j18_catalogue_match}
+    return q | {"t05_chunks": t05_chunks, "t06_all_paragraphs": t06_all_paragraphs, "t09_all_word_chunks": t09_all_word_chunks, "t12_filtered_topics": t12_filtered_topics, "s21_saved_topics": s21_saved_topics, "j19_catalogue_match": j19_catalogue_match, "j18_contained_title": j18_contained_title, "a31_topic_quality": a31_topic_quality}
 
 
 def _replaced(x: str, steps) -> str:
@@ -103,7 +118,10 @@ def oracle_sql() -> dict[str, str]:
     form = lambda x: f"trim(regexp_replace(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g'), '\\s+', ' ', 'g'))"
     toks = lambda x: f"list_distinct(list_filter(string_split({form(x)}, ' '), lambda w: w <> ''))"
     author = "regexp_replace(trim(author), '_\\d+$', '')"
-    accents = "translate(lower(title), 'áàâäãåéèêëíìîïóòôöõúùûüýÿñç', 'aaaaaaeeeeiiiiooooouuuuyync')"
+    accents = f"lower(translate(title, '{text.PLAIN_FROM}', '{text.PLAIN_TO}'))"
+    held, probe = "lower(regexp_replace(title, '[.,]', '', 'g'))", form("title")
+    wc = f"len(list_filter(regexp_split_to_array(x, '{space}+'), lambda w: w <> ''))"
+    mean = lambda e: f"list_sum(list_transform(t, lambda x: {e})) / len(t)"
     return {
         "t01_html_to_text": f"SELECT doc_id, {html} AS plain FROM documents",
         "t02_markdown": f"SELECT doc_id, {_replaced('text', [(chr(92) + 'n{3,}', chr(10) * 2), (r'!\[.*?\]\(.*?\)', ''), (r'(?m)^#{1,6}\s+', ''), (r'\A\s+|\s+\z', '')])} AS plain FROM documents",
@@ -120,7 +138,12 @@ def oracle_sql() -> dict[str, str]:
         "t19_clean_author": f"SELECT id, CASE WHEN {author} IN ('', 'Unknown', '[Unknown Author]') THEN NULL WHEN len(string_split({author}, '|')) = 2 THEN trim(split_part({author}, '|', 2)) || ' ' || trim(split_part({author}, '|', 1)) ELSE {author} END AS author, trim(regexp_replace(regexp_replace(regexp_replace(title, '\\s*\\([A-Z][^)]+\\)\\s*$', '', 'g'), '_+\\d*$', '', 'g'), '^_+', '', 'g')) AS title FROM books",
         "t20_slug": f"SELECT id, regexp_replace(regexp_replace(regexp_replace({accents}, '[^\\x00-\\x7f]', '', 'g'), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM books",
         "t24_duration": "SELECT id, CASE WHEN id >= 3600 THEN printf('%dh %dm', id // 3600, id % 3600 // 60) WHEN id >= 60 THEN printf('%dm %ds', id // 60, id % 60) ELSE printf('%ds', id) END AS d FROM chunks",
+        "j18_contained_title": f"""SELECT id, catalogue_id, same_author FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY same_author DESC, catalogue_id) rn FROM (SELECT b.id, k.id catalogue_id, coalesce(least(len(x), len(y)) > 0 AND len(list_intersect(x, y)) * 2 >= least(len(x), len(y)), false) same_author
+FROM (SELECT id, {probe} f, {toks('author')} x FROM books) b JOIN (SELECT id, {held} h, {toks('author_sort')} y FROM calibre_books) k ON b.f <> '' AND contains(k.h, b.f))) WHERE rn = 1""",
+        "a31_topic_quality": f"""WITH r AS (SELECT chunk_id, list_filter(list_distinct(list(lower({strip('topic')}))), lambda x: x <> '') t FROM chunk_topics WHERE chunk_id IS NOT NULL GROUP BY 1), l AS (SELECT chunk_id, list_distinct(list(lower(label))) g FROM chunk_topic_links JOIN topics ON topics.id = topic_id GROUP BY 1),
+q AS (SELECT chunk_id, t, 2.0 * len(list_intersect(t, g)) / nullif(len(t) + len(g), 0) f1 FROM r JOIN l USING (chunk_id))
+SELECT chunk_id, CASE WHEN len(t) > 0 THEN round(0.4 * f1 + 0.25 * {mean(f'CASE WHEN {wc} BETWEEN 2 AND 5 THEN 1.0 WHEN {wc} = 6 THEN 0.5 ELSE 0.0 END')} + 0.15 * {mean(f'CASE WHEN x IN ({stop}) THEN 0.0 ELSE 1.0 END')} + 0.1 * {mean(f'CASE WHEN {wc} > 6 THEN 0.0 ELSE 1.0 END')} + 0.1 * greatest(0, 1 - abs(len(t) - 5) * 0.2), 6) ELSE 0 END AS quality FROM q""",
         "s21_saved_topics": "SELECT DISTINCT id AS chunk_id, trim(topic) AS topic FROM (SELECT id, unnest(CAST(from_json(topics_json, '[\"VARCHAR\"]') AS VARCHAR[])) topic FROM chunks WHERE topics_json IS NOT NULL) WHERE trim(topic) <> ''",
-        "j18_catalogue_match": f"""SELECT id, catalogue_id, ok FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ok DESC, catalogue_id) rn FROM (SELECT b.id, k.id catalogue_id, coalesce(least(len(x), len(y)) > 0 AND len(list_intersect(x, y)) * 2 >= least(len(x), len(y)), false) ok
+        "j19_catalogue_match": f"""SELECT id, catalogue_id, ok FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ok DESC, catalogue_id) rn FROM (SELECT b.id, k.id catalogue_id, coalesce(least(len(x), len(y)) > 0 AND len(list_intersect(x, y)) * 2 >= least(len(x), len(y)), false) ok
 FROM (SELECT id, {form('title')} f, {toks('author')} x FROM books) b JOIN (SELECT id, {form('title')} f, {toks('author_sort')} y FROM calibre_books) k ON b.f = k.f AND b.f <> '')) WHERE rn = 1""",
     }

@@ -18,7 +18,7 @@ from lexigraph.functions.text import ENTITIES
 
 # Endings of the text parts of an EPUB, elements that are no text, words of a part and of a PDF at least.
 PARTS = (".xhtml", ".html", ".htm", ".xml")
-DROPPED = "script style nav header footer".split()
+DROPPED = ["script", "style", "nav", "header", "footer"]
 LEAST_PART_WORDS, LEAST_PDF_WORDS = 10, 100
 
 
@@ -130,18 +130,44 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, required: lis
 
 
 def parse_log(lines: DataFrame) -> DataFrame:
-    """(book, author, chunks, topics, status): what an extraction log (n, value) says of each book, in its order.
+    """(log, k, number, of, book, author, resumed, done, total, chunks, topics, seconds, rate, eta_minutes, status): what
+    extraction logs (n, value and, of several, log) say of each book, in its order.
 
-    A line belongs to the last 'Indexing:' before it; n orders the lines of one log.
+    A line belongs to the last 'Indexing:' before it, and a wrapped one, which begins with blanks, to the line before;
+    n orders the lines of a log, and a log is one stream.  A book's number is that of the line before its start.
     """
+    l = lines if "log" in lines.columns else lines.withColumn("log", F.lit(""))
     s = F.regexp_replace("value", r"^\d{2}:\d{2}:\d{2}\s*", "")
-    l = lines.select("n", s.alias("s"))
-    w = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)  # a log is one stream
+    w = Window.partitionBy("log").orderBy("n")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    l = l.select("log", "n", s.alias("s")).withColumn("line", F.sum(F.when(F.col("s").startswith("  "), 0).otherwise(1)).over(upto))
+    l = l.groupBy("log", "line").agg(F.min("n").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "s"))), lambda x: F.trim(x["s"])), " ").alias("s"))
     started = F.regexp_like("s", F.lit(r"^Indexing: .+"))
-    l = l.withColumn("k", F.sum(F.when(started, 1).otherwise(0)).over(w)).where("k > 0")
-    one = lambda p: F.max(F.when(F.regexp_like("s", F.lit(p)), F.regexp_extract("s", p, 1)))
-    g = l.groupBy("k").agg(one(r"^Indexing: (.+)").alias("book"), one(r"^Author: (.+)").alias("author"), one(r"Created (\d+) chunks").cast("long").alias("chunks"), one(r"Extracted (\d+) (?:unique )?topics").cast("long").alias("topics"), F.max(F.regexp_like("s", F.lit("^Skipping:"))).alias("skipped"), F.max(F.regexp_like("s", F.lit("^Error "))).alias("failed"), F.max(F.regexp_like("s", F.lit("^Book done"))).alias("done"))
-    return g.select("k", "book", "author", "chunks", "topics", F.when(F.col("failed"), "error").when(F.col("skipped"), "skipped").when(F.col("done"), "done").otherwise("open").alias("status"))
+    place = lambda i: F.when(F.regexp_like("s", F.lit(r"^\((\d+)/(\d+)\)")), F.regexp_extract("s", r"^\((\d+)/(\d+)\)", i).cast("long"))
+    l = l.withColumns({"k": F.sum(F.when(started, 1).otherwise(0)).over(upto), "number": F.last(place(1), True).over(upto), "of": F.last(place(2), True).over(upto)}).where("k > 0")
+    one = lambda p, i=1: F.max(F.when(F.regexp_like("s", F.lit(p)), F.regexp_extract("s", p, i)))
+    last = lambda p, i=1: F.max_by(F.when(F.regexp_like("s", F.lit(p)), F.regexp_extract("s", p, i)), F.when(F.regexp_like("s", F.lit(p)), F.col("n")))
+    progress, finished = r"Processing chunks: (\d+)/(\d+) \((\d+)%\)", r"Book done: ([\d.]+)s \((\d+) chunks, ([\d.]+)s/chunk\)"
+    g = l.groupBy("log", "k").agg(
+        F.max_by("number", F.when(started, F.col("n"))).alias("number"), F.max_by("of", F.when(started, F.col("n"))).alias("of"),
+        one(r"^Indexing: (.+)").alias("book"), one(r"^Author: (.+)").alias("author"), one(r"^Resuming: (\d+)/(\d+) chunks already done").cast("long").alias("resumed"),
+        last(progress).cast("long").alias("done"), last(progress, 2).cast("long").alias("total"),
+        F.coalesce(one(r"Created (\d+) chunks"), one(finished, 2)).cast("long").alias("chunks"), one(r"Extracted (\d+) (?:unique )?topics").cast("long").alias("topics"),
+        one(r"Book done: ([\d.]+)s").cast("double").alias("seconds"), one(finished, 3).cast("double").alias("rate"), last(r"ETA: (\d+)m").cast("long").alias("eta_minutes"),
+        F.max(F.regexp_like("s", F.lit("^Skipping:"))).alias("skipped"), F.max(F.regexp_like("s", F.lit("^Error "))).alias("failed"), F.max(F.regexp_like("s", F.lit("^Book done"))).alias("ended"),
+    )
+    status = F.when(F.col("failed"), "error").when(F.col("skipped"), "skipped").when(F.col("ended"), "done").otherwise("open")
+    return g.withColumn("status", status).drop("failed", "skipped", "ended")
+
+
+def log_totals(lines: DataFrame) -> DataFrame:
+    """One row for each log: its books by status, and what its last cumulative line or else its books add up to."""
+    l = lines if "log" in lines.columns else lines.withColumn("log", F.lit(""))
+    p = r"Total: (\d+)/(\d+) books,\s+([\d,]+)\s+chunks,\s+([\d.]+)s/chunk avg"
+    part = lambda i: F.max_by(F.regexp_replace(F.regexp_extract("value", p, i), ",", ""), "n")
+    total = l.where(F.regexp_like("value", F.lit(p))).groupBy("log").agg(part(1).cast("long").alias("t_books"), part(3).cast("long").alias("t_chunks"), part(4).cast("double").alias("t_rate"))
+    b = parse_log(lines).groupBy("log").agg(*[F.count_if(F.col("status") == x).alias(n) for x, n in (("done", "completed"), ("skipped", "skipped"), ("error", "failed"), ("open", "open"))], F.count("resumed").alias("resumed"), F.sum(F.when(F.col("status") == "done", F.col("chunks"))).alias("chunks"), F.sum(F.when(F.col("status") == "done", F.col("topics"))).alias("topics"), F.sum("seconds").alias("seconds"))
+    return b.join(total, "log", "left").select("log", F.coalesce("t_books", "completed").alias("completed"), "skipped", "failed", "open", "resumed", F.coalesce("t_chunks", "chunks").alias("chunks"), "topics", "seconds", F.coalesce("t_rate", F.col("seconds") / F.nullif("chunks", F.lit(0))).alias("rate"))
 
 
 def elapsed(first: Column, last: Column) -> Column:

@@ -14,6 +14,8 @@ import pandas as pd
 import pyarrow as pa
 import zlib
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Extractor = Callable[[list[str]], list[list[str]]]
 Embedder = Callable[[list[str]], np.ndarray]
@@ -101,3 +103,55 @@ def label_clusters(summaries: DataFrame, labeller: Callable[[list[str]], str] =
             yield pd.DataFrame({"cluster_id": b["cluster_id"], "label": [labeller(list(t)) for t in b["topics"]]})
 
     return summaries.select("cluster_id", "topics").mapInPandas(kernel, "cluster_id long, label string")
+
+
+def batch_schema(chunks: int, topics: int = 5) -> T.StructType:
+    """The answer that a model gives for several chunks at once: chunk_1 to chunk_n, each a list of topics."""
+    return T.StructType([T.StructField(f"chunk_{i}", T.ArrayType(T.StringType()), False, {"items": topics}) for i in range(1, chunks + 1)])
+
+
+def endpoint(model: str, routes: dict[str, str], default: str) -> str:
+    """The address that serves a model: of the routes whose prefix its name has, the longest."""
+    return routes[max((p for p in routes if model.startswith(p)), key=len)] if any(model.startswith(p) for p in routes) else default
+
+
+def embedder_info(embedder: Embedder = hashed_grams) -> dict:
+    """Name and dimension of an embedder, found by a call."""
+    return {"name": getattr(embedder, "__name__", type(embedder).__name__), "dimension": int(embedder(["a"]).shape[1])}
+
+
+def book_themes(books: DataFrame, extractor: Extractor = key_phrases) -> DataFrame:
+    """(id, themes as a JSON list) of ``books`` (id, title, text): what the extractor says of a book's title and text."""
+    t = books.select("id", F.concat_ws("\n", "title", "text").alias("text"))
+    return extract_topics(t, extractor).select(F.col("chunk_id").alias("id"), F.to_json("topics").alias("themes"))
+
+
+def consolidated(topics: DataFrame, merger: Callable[[list[str]], dict[str, list[str]]] = lambda ts: {t: [t] for t in ts}) -> DataFrame:
+    """(id, label, originals): the topics of each book (id, topics array<string>) under the labels that a merger gives
+    them; labels and originals in lower case, blank ones left out, a failing merger gives none."""
+    from lexigraph.functions.text import first_spellings
+
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for i, topics in zip(b["id"], b["topics"]):
+                try:
+                    found = merger(list(topics)) if len(topics) else {}
+                except Exception:  # noqa: BLE001
+                    found = {}
+                for label, originals in found.items():
+                    kept = [str(o).strip().lower() for o in originals if o]
+                    if label.strip() and kept:
+                        rows.append((i, label.strip().lower(), kept))
+            yield pd.DataFrame(rows, columns=["id", "label", "originals"])
+
+    return topics.select("id", first_spellings(F.col("topics")).alias("topics")).mapInPandas(kernel, "id long, label string, originals array<string>")
+
+
+def labelled_queue(summaries: DataFrame, labels: DataFrame, least: int = 5, labeller: Callable[[list[str]], str] | None = None) -> DataFrame:
+    """``labels`` (cluster_id, label) with one for every cluster of ``summaries`` (cluster_id, size, topics) of at least
+    that size that has none."""
+    from lexigraph.operators.tables import last_wins
+
+    todo = summaries.where(F.col("size") >= least).join(labels.select("cluster_id"), "cluster_id", "left_anti")
+    return last_wins(labels, label_clusters(todo, labeller) if labeller else label_clusters(todo), ["cluster_id"])

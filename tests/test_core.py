@@ -9,9 +9,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lexigraph import session
 from lexigraph.functions import chunking, scoring, text
 from lexigraph.functions import vectors as V
-from lexigraph.operators import community, cooccurrence, dedup, domains, graph, similarity, tables
+from lexigraph.operators import community, cooccurrence, dedup, domains, graph, matching, similarity, tables
 from lexigraph.plans import pipeline, registry
 from lexigraph.sources import documents, exports, models
 from lexigraph.streaming import ingest
@@ -221,8 +222,8 @@ def test_pipeline(spark, scratch):
     chunks, topics = pipeline.index_documents(docs, target=120)
     chunks, topics = scratch.put("c", chunks), scratch.put("t", topics)
     known = spark.createDataFrame([], "id long, label string")
-    t, l = pipeline.normalized_topics(topics, known)
-    again, _ = pipeline.normalized_topics(topics, scratch.put("known", t.select("id", "label")))
+    t, l = pipeline.normalized_topics(topics, known, scratch)
+    again, _ = pipeline.normalized_topics(topics, scratch.put("known", t.select("id", "label")), scratch)
     assert sorted((r.id, r.label) for r in t.collect()) == sorted((r.id, r.label) for r in again.collect())
     assert pipeline.index_documents(docs, topics, target=120)[1].count() == 0
     out = pipeline.process(chunks, topics, known, scratch, least=0.3)
@@ -273,7 +274,7 @@ def test_clusters_of_every_book(spark, tmp_path):
     for t in relational.TABLES:
         spark.createDataFrame(*rows.get(t, ([], "id long"))).write.parquet(f"{tmp_path}/{t}.parquet")
     got = relational.queries()["a13_clusters_of_book"](spark, str(tmp_path)).collect()
-    assert sorted(map(tuple, got)) == [(7, 5, 1, "a"), (201, 5, 2, "a, b"), (90_000, 5, 1, "b")]
+    assert sorted(map(tuple, got)) == [(7, 5, 1, "a", 1), (201, 5, 2, "a, b", 1), (90_000, 5, 1, "b", 1)]
 
 
 @pytest.mark.parametrize("kind,resolution", [("cpm", 0.05), ("modularity", 1.0)])
@@ -304,3 +305,202 @@ def test_all_parts_of_texts(spark, tmp_path):
     q = registry.queries()
     assert sorted(map(tuple, q["t06_all_paragraphs"](spark, str(tmp_path)).collect())) == [(1, 0, "a"), (1, 1, "b"), (1, 2, "c")]
     assert sorted(map(tuple, q["t09_all_word_chunks"](spark, str(tmp_path)).collect())) == [(1, i, " ".join(words[i * 10 : i * 10 + 10])) for i in range(3)]
+
+
+def test_numbers_over_many_ranges(spark, scratch):
+    df = spark.range(0, 1000, 1, 7).select((F.col("id") * 7919 % 1000).alias("x")).repartition(5)
+    assert [(r.n, r.x) for r in tables.numbered(df, "n", [F.desc("x")], scratch, 10).orderBy("n").collect()] == [(10 + i, 999 - i) for i in range(1000)]
+    assert tables.numbered(df.limit(0), "n", [F.col("x")], scratch).count() == 0
+
+
+def test_index_of_vectors(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((300, 8)) + 3 * rng.standard_normal((6, 8))[rng.integers(0, 6, 300)]
+    df = spark.createDataFrame([(i, [float(y) for y in r]) for i, r in enumerate(x)], "id long, v array<float>")
+    similarity.write_index(df, str(tmp_path / "index"), 20)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in (x[3], -x[5]):
+        want = np.argsort(-(u @ (q / np.linalg.norm(q))), kind="stable")[:7].tolist()
+        assert [r.id for r in similarity.search_index(spark, str(tmp_path / "index"), q.tolist(), 7).collect()] == want
+
+
+def test_pairs_of_split_chunks_and_common_books(spark):
+    rng = random.Random(4)
+    links = [(c, t) for c in range(12) for t in rng.sample(range(60), 40 if c == 0 else rng.randrange(1, 8))] + [(1, None), (None, 1)]
+    links += links[:10]
+    df, chunks = spark.createDataFrame(links, "chunk_id long, topic_id long"), spark.createDataFrame([(c, c // 3) for c in range(12)], "id long, book_id long")
+    of, books = {}, {}
+    for c, t in {x for x in links if None not in x}:
+        of.setdefault(c, set()).add(t)
+        books.setdefault(t, set()).add(c // 3)
+    want = {}
+    for ts in of.values():
+        for a in ts:
+            for b in ts:
+                if a < b:
+                    want[a, b] = want.get((a, b), 0) + 1
+    clean = df.dropna().distinct()
+    assert {(r.topic1_id, r.topic2_id): r["count"] for r in cooccurrence.chunk_pairs(clean, 5).collect()} == want
+    got = {(r.topic1_id, r.topic2_id): (r["count"], r.book_count) for r in cooccurrence.cooccurrences(df, chunks).collect()}
+    assert got == {k: (n, len(books[k[0]] & books[k[1]])) for k, n in want.items()}
+    one = next(iter(of[0]))
+    near = cooccurrence.occurring_with(df, spark.createDataFrame([(one,)], "id long"), 100).collect()
+    assert {r.id: r["count"] for r in near} == {(b if a == one else a): n for (a, b), n in want.items() if one in (a, b)}
+    assert cooccurrence.occurring_with(df, spark.createDataFrame([], "id long")).count() == 0
+
+
+def test_titles_contained_in_titles(spark):
+    books = spark.createDataFrame([(1, "The Sea!", "Ann Marsh"), (2, "It", None), (3, "Nowhere", "X"), (4, None, "X"), (5, "...", "X"), (6, "A-B", "X")], "id long, title string, author string")
+    cat = spark.createDataFrame([(10, "On the Sea, again", "Other"), (11, "the sea", "Marsh, Ann"), (12, "Bit.", "Y"), (13, None, "Z"), (14, "A-B", "X")], "id long, title string, author_sort string")
+    assert sorted((r.id, r.catalogue_id, r.same_author) for r in matching.contained(books, cat).collect()) == [(1, 11, True), (2, 12, False)]
+    assert matching.contained(books.limit(0), cat).count() == matching.contained(books, cat.limit(0)).count() == 0
+
+
+def planted_edges(k=4, size=30):
+    rng = random.Random(1)
+    edges = [(g * 100 + i, g * 100 + j, 1.0) for g in range(k) for i in range(size) for j in range(i + 1, size) if rng.random() < 0.6]
+    return edges + [(a * 100 + x, b * 100 + x, 0.1) for a in range(k) for b in range(a + 1, k) for x in (0, 1)]
+
+
+@pytest.mark.parametrize("task_edges", [500_000, 200])
+@pytest.mark.parametrize("kind", ["cpm", "modularity", "surprise"])
+def test_planted_communities_of_all_qualities(spark, scratch, kind, task_edges):
+    e = spark.createDataFrame(planted_edges(), "src long, dst long, weight double")
+    m = community.surprising(e, scratch, 6 if task_edges > 200 else 2, task_edges) if kind == "surprise" else community.communities(e, scratch, 0.1 if kind == "cpm" else 1.0, kind, task_edges=task_edges)
+    of = {r.node: r.community for r in m.collect()}
+    assert len(of) == 120 and sorted(of[g * 100] for g in range(4)) == [0, 1, 2, 3] and all(c == of[v // 100 * 100] for v, c in of.items())
+
+
+def test_surprise_of_partitions(spark):
+    edges = [(0, 1), (1, 2), (0, 2), (3, 4), (4, 5), (3, 5), (2, 3)]
+    e = spark.createDataFrame([(a, b, 1.0) for a, b in edges], "src long, dst long, weight double")
+    m = spark.createDataFrame([(v, v // 3) for v in range(6)], "node long, community long")
+    q, p = 6 / 7, 6 / 15
+    assert community.surprise(e, m).first().surprise == pytest.approx(7 * (q * np.log(q / p) + (1 - q) * np.log((1 - q) / (1 - p))), abs=1e-6)
+
+
+def test_table_of_a_sweep(spark, scratch):
+    e = spark.createDataFrame(planted_edges(3, 10), "src long, dst long, weight double")
+    runs = community.sweep(e, scratch, 1e-3, 1.0, 5, 1)
+    large = community.sweep(e, scratch, 1e-3, 1e-2, 1, 1, task_edges=10)
+    assert runs.count() == 150 and large.count() == 30
+    t = community.sweep_table(e, runs, scratch).orderBy("i").collect()
+    assert len(t) == 5 and sum(r.best for r in t) == 1 and [r.communities for r in t if r.best] == [3] and t[-1].nmi is None
+
+
+def test_domains_loaded_and_made_anew(spark, scratch, tmp_path):
+    (tmp_path / "d.json").write_text('[{"label": "a", "leiden_cluster_ids": [1, 2]}, {"label": "b", "leiden_cluster_ids": [2, 3]}, {"label": "a", "leiden_cluster_ids": [9]}, {"label": "c", "leiden_cluster_ids": []}, {"label": null}]')
+    d, m = exports.load_domains(spark, str(tmp_path / "d.json"))
+    assert sorted(map(tuple, d.collect())) == [(0, "a", 2), (1, "b", 2), (3, "c", 0)] and sorted(map(tuple, m.collect())) == [(1, 0), (2, 1), (3, 1), (9, 0)]
+    topics = spark.createDataFrame([(i, f"label {i}", i % 3, i) for i in range(30)], "id long, label string, cluster_id long, occ long")
+    of = spark.createDataFrame([(0, 1), (1, 1), (2, 2)], "id long, domain int")
+    names = spark.createDataFrame([(1, "x"), (2, "y")], "domain int, label string")
+    dom, mem = domains.apply_labels(of, names, topics, scratch)
+    assert [tuple(r) for r in dom.orderBy("id").collect()] == [(0, "x", 2, 20, [0, 1]), (1, "y", 1, 10, [2])] and sorted(map(tuple, mem.collect())) == [(0, 0), (1, 0), (2, 1)]
+    with pytest.raises(ValueError):
+        domains.apply_labels(of, names.where("domain = 1"), topics, scratch)
+    vec = spark.createDataFrame([(i, [float(i % 3 == j) + 0.01 * i for j in range(3)]) for i in range(30)], "id long, v array<double>")
+    for method in ("kmeans", "leiden"):
+        assert domains.regenerate(topics, vec, scratch, 2, method)[1].count() == 3
+
+
+def test_logs_in_full(spark):
+    log = ["(1/3)", "10:00:00 Indexing: One", "Resuming: 4/9 chunks already done", "Processing chunks: 5/9 (55%)", "Processing chunks: 9/9", "  (100%) ETA: 3m", "Extracted 7 unique topics", "Book done: 12.5s (9 chunks, 1.39s/chunk)", "(2/3)", "Indexing: Two", "Error indexing Two", "(3/3)", "Indexing: Three", "Created 20 chunks", "Book done: 4.0s (20 chunks, 0.2s/chunk) | Total: 2/3 books, 1,029 chunks, 0.57s/chunk avg"]
+    df = spark.createDataFrame(list(enumerate(log)), "n int, value string")
+    r = documents.parse_log(df).orderBy("k").collect()
+    assert [(x.number, x.of, x.book, x.status, x.chunks, x.seconds) for x in r] == [(1, 3, "One", "done", 9, 12.5), (2, 3, "Two", "error", None, None), (3, 3, "Three", "done", 20, 4.0)]
+    assert (r[0].resumed, r[0].done, r[0].total, r[0].topics, r[0].eta_minutes, r[0].rate) == (4, 9, 9, 7, 3, 1.39)
+    t = documents.log_totals(df).first()
+    assert (t.completed, t.failed, t.skipped, t.chunks, t.rate) == (2, 1, 0, 1029, 0.57)
+    assert documents.parse_log(df.limit(0)).count() == 0
+
+
+def test_small_text_functions(spark):
+    df = spark.createDataFrame([("Ångström & Ærø ﬁ", "Added book ids: 4, 17", [" A ", "a", "", None, "b"], "Last, First", "A Tale: of (two)")], "t string, o string, l array<string>, a string, s string")
+    r = df.select(text.slug("t").alias("slug"), text.last_number(F.col("o")).alias("n"), text.last_number(F.col("t")).alias("none"), text.first_spellings(F.col("l")).alias("l"), text.file_name(F.lit(7), F.col("a"), F.col("s")).alias("f"), text.progress_bar(F.lit(5), F.lit(10), 4).alias("b"), text.time_left(F.lit(5), F.lit(10), F.lit(60)).alias("e"), text.progress_bar(F.lit(0), F.lit(0)).alias("z")).first()
+    assert (r.slug, r.n, r.none, r.l, r.f, r.b, r.e, r.z) == ("angstrom_r", 17, None, ["a", "b"], "7_last_a_tale.epub", "[##--] 50%", "1m 0s", "")
+    q = spark.createDataFrame([(["Deep sea", "love"],), ([],), ([" "],)], "t array<string>").select(scoring.topic_quality(F.col("t"), F.lit(0.5)).alias("q")).collect()
+    assert q[0].q == pytest.approx(0.4 * 0.5 + 0.25 * 0.5 + 0.15 * 0.5 + 0.1 + 0.1 * 0.4) and q[1].q == q[2].q == 0
+
+
+def test_pdf_pages_and_scans(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"text")
+    (tmp_path / "b.pdf").write_bytes(b"scan")
+    pages = lambda c: ["word " * 150, " ", "end"] if c == b"text" else [" x "]
+    r = {x.path.rsplit("/", 1)[-1]: x for x in documents.read_documents(spark, str(tmp_path), pages, lambda c: "# Head\n\n![i](u)text").collect()}
+    assert r["a.pdf"].text.endswith("\n\nend") and r["b.pdf"].text == "Head\n\ntext" and r["a.pdf"].status == r["b.pdf"].status == "ok"
+    assert documents.first_available(("no_such_module", len), ("json", str)) is str and documents.first_available() is None
+
+
+def test_a_library_is_brought_up_to_date(spark, scratch):
+    pages = spark.createDataFrame([("t", '<a href="/book?id=f1.epub">Old</a><a href="/book?id=f2.pdf">The Sea</a><a href="/book?id=f3">Unmatched Words</a>')], "tag string, html string")
+    books = spark.createDataFrame([(7, "f1", "Old")], "id long, ipad_id string, title string")
+    cat = spark.createDataFrame([(3, "Across the sea", "Marsh, Ann", "S", 1.0, "P")], "id long, title string, author_sort string, series string, series_index double, publisher string")
+    r = {x.ipad_id: x for x in pipeline.sync_library(pages, books, cat, scratch).collect()}
+    assert len(r) == 3 and (r["f2"].id, r["f2"].calibre_id, r["f2"].author, r["f2"].has_calibre_match) == (8, 3, "Marsh, Ann", True)
+    assert (r["f3"].id, r["f3"].calibre_id, r["f3"].has_calibre_match) == (9, None, False) and r["f1"].id == 7
+
+
+@pytest.mark.parametrize("mode,kind", [("knn", "cpm"), ("cooccurrence", "modularity"), ("full", "surprise")])
+def test_clustering_modes(spark, scratch, mode, kind):
+    rng = random.Random(2)
+    links = [(c, (c % 3) * 10 + t) for c in range(60) for t in rng.sample(range(10), 4)]
+    topics = spark.createDataFrame([(i, f"label {i}") for i in range(30)], "id long, label string")
+    vec = spark.createDataFrame([(i, [float(i // 10 == j) + 0.01 * (i % 10) for j in range(3)]) for i in range(30)], "id long, v array<double>")
+    chunks = spark.createDataFrame([(c, c // 5) for c in range(60)], "id long, book_id long")
+    out = pipeline.clustered(spark.createDataFrame(links, "chunk_id long, topic_id long"), chunks, topics, vec, scratch, mode, kind, 0.5 if kind == "cpm" else 1.0, 3, 0.9, 2, -9.0, remove_hubs=mode == "knn")
+    m = {r.node: r.community for r in out["membership"].collect()}
+    assert set(m) <= set(range(30)) and len(m) >= 28
+    assert all(len({m[v] for v in range(g * 10, g * 10 + 10) if v in m and m[v] >= 0} & {m[v] for v in range(30) if v // 10 != g and v in m and m[v] >= 0}) == 0 for g in range(3))
+    assert sum(r["size"] for r in out["sizes"].collect()) == sum(c >= 0 for c in m.values())
+
+
+def test_models_around_topics(spark):
+    assert models.batch_schema(2).fieldNames() == ["chunk_1", "chunk_2"] and models.embedder_info() == {"name": "hashed_grams", "dimension": models.DIM}
+    assert models.endpoint("a/b/c", {"a/": "x", "a/b": "y"}, "z") == "y" and models.endpoint("q", {"a": "x"}, "z") == "z"
+    t = spark.createDataFrame([(1, ["Sea ", "sea", "Ocean"]), (2, []), (3, ["bad"])], "id long, topics array<string>")
+
+    def merger(ts):
+        if "bad" in ts:
+            raise RuntimeError
+        return {" Water": ts, "": ["x"], "none": []}
+
+    assert [tuple(r) for r in models.consolidated(t, merger).collect()] == [(1, "water", ["sea", "ocean"])]
+    s = spark.createDataFrame([(1, 9, ["a"]), (2, 9, ["b"]), (3, 1, ["c"])], "cluster_id long, size long, topics array<string>")
+    l = models.labelled_queue(s, spark.createDataFrame([(1, "kept")], "cluster_id long, label string"))
+    assert sorted(map(tuple, l.collect())) == [(1, "kept"), (2, "b")]
+    b = spark.createDataFrame([(1, "T", "the wide sea and the wide sea")], "id long, title string, text string")
+    assert "wide sea" in models.book_themes(b).first().themes
+
+
+def test_shared_folder_is_asked_for_off_local_mode():
+    class Fake:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+            @staticmethod
+            def getConf():
+                return {}
+
+            class _jsc:  # noqa: N801
+                @staticmethod
+                def sc():
+                    class S:
+                        @staticmethod
+                        def getCheckpointDir():
+                            class O:
+                                @staticmethod
+                                def isDefined():
+                                    return False
+
+                            return O
+
+                    return S
+
+        class conf:  # noqa: N801
+            @staticmethod
+            def get(_, default=None):
+                return default
+
+    with pytest.raises(ValueError):
+        session.shared_dir(Fake)
