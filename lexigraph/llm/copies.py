@@ -76,14 +76,26 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
+def counted_terms(rows: DataFrame) -> DataFrame:
+    """(term, n_rows, n_labels) from (kind, id, parts), kind 0 being rows and 1 labels: every term once.
+
+    Rows count once for an id.  They are counted by their fields as written before they meet, so a hot term is a few
+    rows; those of one fingerprint are then held against its first fields, and what has other fields (a collision)
+    is a term of its own.
+    """
+    d = rows.where(F.col("id").isNotNull() & (F.size("parts") > 0)).withColumns({"fp1": multiset_hash(F.col("parts"), "a"), "fp2": multiset_hash(F.col("parts"), "b")})
+    d = d.dropDuplicates(["fp1", "fp2", "kind", "id"])
+    written = d.groupBy("fp1", "fp2", "parts").agg(F.count_if(F.col("kind") == 0).alias("n_rows"), F.count_if(F.col("kind") == 1).alias("n_labels"))
+    first = written.groupBy("fp1", "fp2").agg(F.min("parts").alias("f"))
+    j = written.join(first, ["fp1", "fp2"]).select("n_rows", "n_labels", "fp1", "fp2", written_form(F.when(same_multiset(F.col("parts"), F.col("f")), F.col("f")).otherwise(F.col("parts"))).alias("term"))
+    return j.groupBy("fp1", "fp2", "term").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_labels").alias("n_labels")).select("term", "n_rows", "n_labels")
+
+
 def p3_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(term, n_rows, n_labels): every term once, with the raw rows and the labels that spell it."""
     t = table(spark, sf_dir, "chunk_topics").select(F.lit(0).alias("kind"), F.col("raw_id").alias("id"), term_fields(F.col("topic")).alias("parts"))
     l = table(spark, sf_dir, "topics").select(F.lit(1).alias("kind"), "id", term_fields(F.col("label")).alias("parts"))
-    d = t.unionByName(l).where(F.col("id").isNotNull() & (F.size("parts") > 0)).withColumns({"fp1": multiset_hash(F.col("parts"), "a"), "fp2": multiset_hash(F.col("parts"), "b")})
-    d = d.dropDuplicates(["fp1", "fp2", "kind", "id"])
-    g = d.groupBy("fp1", "fp2").agg(F.min(F.struct(F.size("parts").alias("n"), "parts")).alias("f"), F.count_if(F.col("kind") == 0).alias("n_rows"), F.count_if(F.col("kind") == 1).alias("n_labels"))
-    return g.select(written_form(F.col("f.parts")).alias("term"), "n_rows", "n_labels")
+    return counted_terms(Scratch(spark).put("rows", t.unionByName(l)))
 
 
 def term_sql(x: str) -> str:

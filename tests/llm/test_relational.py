@@ -116,3 +116,26 @@ def test_pairs_of_one_common_chunk(spark, tmp_path):
     spark.createDataFrame([(1, 1), (1, 2), (2, 1), (2, 2), (2, 3)], "chunk_id long, topic_id long").write.parquet(f"{tmp_path}/chunk_topic_links.parquet")
     got = {(r.topic1_id, r.topic2_id, r.n12) for r in together.QUERIES["p6_all_pairs"](spark, str(tmp_path)).collect()}
     assert got == {(1, 2, 2), (1, 3, 1), (2, 3, 1)}
+
+
+def test_a_class_of_a_third_of_all_rows(spark):
+    data = [(i, "B / a" if i % 2 else "a; b") for i in range(2000)] + [(2000 + i, f"t{i}") for i in range(4000)]
+    df = spark.createDataFrame(data, "id long, label string")
+    p = copies.copy_pairs(copies.fingerprinted(df, "id", term_fields(F.col("label"))))
+    assert {(r.first_id, r.other_id) for r in p.collect()} == {(0, i) for i in range(1, 2000)}
+
+
+def test_terms_of_one_fingerprint_are_told_apart(spark, monkeypatch):
+    data = [(0, 1, ["a", "b"]), (0, 2, ["b", "a"]), (0, 2, ["b", "a"]), (1, 1, ["a", "b"]), (0, 3, ["c"]), (1, 4, ["c", "c"]), (0, None, ["c"]), (0, 5, []), (0, 6, None)]
+    df = spark.createDataFrame(data, "kind int, id long, parts array<string>")
+    want = [("a / b", 2, 1), ("c", 1, 0), ("c / c", 0, 1)]
+    assert rows(copies.counted_terms(df)) == want
+    monkeypatch.setattr(copies, "multiset_hash", lambda parts, seed: F.lit(7).cast("long"))
+    distinct = df.withColumn("id", F.col("id") + F.when(F.col("kind") == 1, 10).otherwise(0))  # no id under two kinds
+    assert rows(copies.counted_terms(distinct)) == want
+
+
+def test_a_star_and_a_chain(spark, scratch):
+    edges = [(0, i) for i in range(1, 3000)] + [(5000 + i, 5001 + i) for i in range(300)]
+    got = {r.node: r.group_id for r in components.boruvka(spark.createDataFrame(edges, "a long, b long"), scratch).collect()}
+    assert got == {**{i: 0 for i in range(3000)}, **{5000 + i: 5000 for i in range(301)}}
