@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigraph.functions import chunking, text
 from lexigraph.functions import vectors as V
 from lexigraph.operators import community, cooccurrence, dedup, graph, matching, similarity, tables
-from lexigraph.session import Scratch
+from lexigraph.plans import relational, statistics
+from lexigraph.session import Scratch, table
 from lexigraph.sources import documents, models
 
 LEAST_WORDS = 100
@@ -114,3 +115,19 @@ def process(chunks: DataFrame, chunk_topics: DataFrame, known: DataFrame, scratc
     knn = similarity.nearest(usable, k, least).select(F.least("id", "other").alias("src"), F.greatest("id", "other").alias("dst"), F.col("cosine").alias("weight"), F.lit("embedding_knn").alias("type")).distinct()
     edges = scratch.put("edges", graph.merged_edges(cooccurrence.cooccurrence_edges(pairs, min_count, 0.0, True), knn))
     return {"topics": topics.join(gone, "id", "left_anti"), "links": links, "cooccurrence": pairs, "edges": edges, "communities": community.communities(edges, scratch, resolution)}
+
+
+def process_library(spark: SparkSession, source: str, target: str, scratch: Scratch, **options) -> DataFrame:
+    """(table, rows, seconds) of the statistics, after ``process`` over the tables below ``source``, with ``options``: the
+    topics, links, pairs and edges that come of it are written below ``target`` beside the base tables."""
+    read = lambda name: table(spark, source, name)
+    known = read("topics").select("id", "label")
+    out = process(read("chunks").select("id", "book_id"), read("chunk_topics").select("chunk_id", "topic"), known, scratch, **options)
+    of = out["communities"].select(F.col("node").alias("id"), F.col("community").alias("cluster_id"))
+    topics = out["topics"].join(of, "id", "left").join(read("topics").select("id", "parent_topic_id"), "id", "left")
+    new = {"topics": topics.select("id", "label", "cluster_id", "parent_topic_id", F.col("occ").alias("occurrence_count")), "chunk_topic_links": out["links"], "topic_cooccurrences": out["cooccurrence"], "edges": out["edges"]}
+    for name in relational.TABLES:
+        new.setdefault(name, read(name))
+    for name, df in new.items():
+        df.write.mode("overwrite").parquet(f"{target}/{name}.parquet")
+    return statistics.refresh(spark, target, target)

@@ -54,7 +54,8 @@ class Scratch:
     """Intermediate tables of one operator run, as Parquet in the shared folder.
 
     A written table survives the loss of executors and ends the lineage.  ``put`` under a name that is in use drops
-    the older table once the new one is complete; ``drop`` removes one by name.
+    the older table once the new one is complete; ``drop`` removes one by name.  As results are read after the operator
+    is done, the rest goes when the driver ends.
     """
 
     def __init__(self, spark: SparkSession):
@@ -64,6 +65,9 @@ class Scratch:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
         schema = df.schema
         df.write.parquet(path)
+        if not self.paths:
+            root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+            root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(root)
         old = self.paths.get(name)
         self.paths[name] = path
         if old:

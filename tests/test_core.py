@@ -256,6 +256,16 @@ def test_refreshed_statistics(spark, tmp_path):
     assert set(r) == set(statistics.STATISTICS) and r["cluster_books"] == spark.read.parquet(f"{tmp_path}/cluster_books.parquet").count() > 0
 
 
+def test_a_processed_library(spark, scratch, tmp_path):
+    data = "/root/testdata/sf0.001"
+    if not __import__("os").path.exists(data):
+        pytest.skip("no test tables")
+    r = {x.table: x.rows for x in pipeline.process_library(spark, data, str(tmp_path), scratch, least=0.9).collect()}
+    topics, links = (spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("topics", "chunk_topic_links"))
+    assert r["cluster_books"] > 0 and r["cluster_stats"] > 0 and topics.count() > 200 and topics.where("cluster_id is not null").count() > 0
+    assert links.join(topics, links.topic_id == topics.id, "left_anti").count() == 0
+
+
 def test_set_overlap_of_nothing(spark):
     e = spark.createDataFrame([], "id long, v array<double>")
     a = spark.createDataFrame([(1, [1.0, 0.0])], "id long, v array<double>")
