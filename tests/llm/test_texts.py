@@ -307,6 +307,30 @@ def test_candidates_of_enough_cosine(spark, scratch, monkeypatch, cell, task):
     assert len(high & got) >= (1 if cell > 300 else 0.95) * len(high) > 0
 
 
+def test_passes_find_what_one_pass_finds_and_write_matches_only(spark, scratch, monkeypatch):
+    rng = np.random.default_rng(4)
+    vectors, weight = rng.standard_normal((entities.BUCKETS, entities.DIMS)), rng.random(entities.BUCKETS) + 0.5
+    rows = [(side, i, sorted(map(int, rng.choice(60, 6, replace=False)))) for side in (0, 1) for i in range(300)]
+    tokens = spark.createDataFrame(described_rows(rows), "side int, id long, tokens array<int>").cache()
+    sure = lambda pair: np.where(pair["cosine"].to_numpy() >= 0.7, 0.9, 0.01)
+    one = {(r.book_id, r.calibre_row_id): r.cosine for r in entities.candidates(tokens, vectors, weight, scratch.fresh(), cell=40).collect()}
+    monkeypatch.setattr(entities, "PASS_ROWS", 1)  # half a table each
+    many = [((r.book_id, r.calibre_row_id), r.cosine) for r in entities.candidates(tokens, vectors, weight, scratch.fresh(), cell=40).collect()]
+    assert dict(many) == one and len(many) == len(one) > 100
+    own = scratch.fresh()
+    few = {(r.book_id, r.calibre_row_id) for r in entities.candidates(tokens, vectors, weight, own, cell=40, ranked=sure).collect()}
+    assert few == {p for p, c in one.items() if c >= 0.7} and 0 < len(few) < len(one)
+    assert sum(spark.read.parquet(p).count() for p in own.paths.values()) == len(few)
+
+
+def test_parts_of_walks_are_all_walks(spark):
+    rows = [(i % 2, i, [i % 7, 10 + i % 50, 70 + i]) for i in range(2000)]
+    rec = spark.createDataFrame(described_rows(rows), "side int, id long, tokens array<int>")
+    counts = rec.select(F.explode("tokens").alias("x")).groupBy(entities.bucket(F.col("x")).alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    every = lambda *a: Counter((*r.here, *r.there) for r in entities.walks(rec, counts, 0, *a).collect())
+    assert sum((every(p, 3) for p in range(3)), Counter()) == every() and every().total() == 2000
+
+
 def test_every_token_of_two_records_is_walked(spark):
     rows = [(i % 2, i, [i % 2, 10 + i]) for i in range(6000)]  # each of two tokens in half of the records
     rec = spark.createDataFrame(described_rows(rows), "side int, id long, tokens array<int>")
