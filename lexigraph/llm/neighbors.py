@@ -23,6 +23,7 @@ SLACK = 0.1  # and, for vectors far from every centroid, squared distance beyond
 RING, RINGS = 0.25, 16  # it is known in which rings of this width around each centroid members lie
 TASK_MEMBERS, TASK_QUERIES = 8192, 16_384
 ENTRIES, DEGREE = 8, 512  # entries of the graph for each square root of a centroid; centroids that an entry leads to
+PASS_ROWS = 2**20  # members and queries that a pass shuffles, but as many as there are vectors at least
 SHARE, MOST_SAMPLE = 8, 200_000  # the index is fitted on an eighth of the vectors, between 20,000 and so many
 
 
@@ -39,7 +40,7 @@ def balanced_centroids(x: np.ndarray, most: int, seed: int = 7) -> np.ndarray:
         k = min(16, math.ceil(len(p) / most) + 1)
         c = p[rng.choice(len(p), k, replace=False)]
         for _ in range(8):
-            a = np.argmin((c * c).sum(1) - 2 * p @ c.T, axis=1)
+            a = np.argmin((c * c).sum(1) - p @ (2 * c).T, axis=1)
             c = np.stack([p[a == j].mean(0) if (a == j).any() else c[j] for j in range(k)])
         parts = [p[a == j] for j in range(k)]
         if max(map(len, parts)) > 0.95 * len(p):
@@ -57,7 +58,7 @@ def joined(c: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     sq = (c * c).sum(1)
     for i in np.argsort(-sizes, kind="stable"):
         if free[i]:
-            d = sq + sq[i] - 2 * c @ c[i]
+            d = sq + sq[i] - c @ (2 * c[i])
             d[i] = -1
             o = np.flatnonzero(free & (d <= LIST_REACH**2))
             o = o[np.argsort(d[o], kind="stable")]
@@ -70,11 +71,11 @@ def joined(c: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def spread_out(c: np.ndarray, n: int) -> np.ndarray:
     """n centroids, each the farthest from those before it, so that every region has an entry."""
     out, sq = [0], (c * c).sum(1)
-    far = sq + sq[0] - 2 * c @ c[0]
+    far = sq + sq[0] - c @ (2 * c[0])
     while len(out) < min(n, len(c)):
         i = int(far.argmax())
         out.append(i)
-        far = np.minimum(far, sq + sq[i] - 2 * c @ c[i])
+        far = np.minimum(far, sq + sq[i] - c @ (2 * c[i]))
     return np.array(out)
 
 
@@ -107,6 +108,14 @@ class Centroids:
             d[rows] = x[rows] @ (-2 * self.c[to].T) + (1 + self.sq[to])
         return ids, d
 
+    def nearest(self, x: np.ndarray) -> np.ndarray:
+        """The number of the nearest centroid of each, in blocks, as ``near`` takes 4 KB for a vector."""
+        out = np.empty(len(x), "i8")
+        for lo in range(0, len(x), 4096):
+            ids, d = self.near(x[lo : lo + 4096])
+            out[lo : lo + 4096] = ids[np.arange(len(ids)), d.argmin(1)]
+        return out
+
 
 def places(x: np.ndarray, index: Centroids, reach: float, probe: float, replicate: float):
     """((vector, list, centroid, ring) of the members, (vector, list) of the queries) for unit vectors x.
@@ -137,18 +146,18 @@ def nearest(points: DataFrame, scratch: Scratch, k: int = 5, min_cosine: float =
 
     ``points`` (id, v) has distinct ids.  The index is fitted on a sample of an eighth of the vectors, from 20,000
     to 200,000, but every vector is a member and a query.  A list with more members or queries than a task should hold is divided, each part of the one
-    against each part of the other, so nothing is dropped and no task holds more than 8,192 and 16,384.
+    against each part of the other, so nothing is dropped and no task holds more than 8,192 and 16,384.  The lists are
+    gone through in passes, so that the vectors are on disk about once more, however many lists hold them.
     """
-    spark = points.sparkSession
+    scratch, spark = scratch.fresh(), points.sparkSession
     n = points.count()
     s = sample(points, n, min(MOST_SAMPLE, max(SAMPLE, n // SHARE)))
     if not len(s):
         return spark.createDataFrame([], "id long, near array<struct<far:double,id:long>>")
     c = balanced_centroids(s, PART)
     index = Centroids(c, np.zeros(len(c), "i8"))
-    ids, sq = index.near(s)
-    nearest_c = ids[np.arange(len(s)), sq.argmin(1)]
-    lists = joined(c, np.bincount(nearest_c, minlength=len(c)) * (n / len(s)))
+    lists = joined(c, np.bincount(index.nearest(s), minlength=len(c)) * (n / len(s)))
+    del s
     reach = math.sqrt(max(0.0, 2 - 2 * min_cosine)) + 1e-3
     sent = spark.sparkContext.broadcast(pickle.dumps((c, lists, (index.entries, index.edges))))
 
@@ -175,12 +184,17 @@ def nearest(points: DataFrame, scratch: Scratch, k: int = 5, min_cosine: float =
     occupied[key[role == 2]] = True
     layout = spark.sparkContext.broadcast(pickle.dumps((occupied.reshape(-1, RINGS), split)))
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = sum(int((m[role == r] * split[key[role == r], 1 - r]).sum()) for r in (0, 1))
+    passes = math.ceil(rows / max(PASS_ROWS, n)) or 1
+
+    def spread(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
         occupied, split = pickle.loads(layout.value)
         for b, ((mw, of, _, _), (qw, to)) in placed(batches, occupied):
             ids = b.column(0).to_numpy()
             one = np.unique(mw * len(split) + of)
             for role, (who, key) in enumerate(((one // len(split), one % len(split)), (qw, to))):
+                now = key % passes == turn
+                who, key = who[now], key[now]
                 own, other = split[key, role], split[key, 1 - role]
                 mine = (ids[who].astype("u8") * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype("i8") % own
                 r = np.repeat(np.arange(len(who)), other)
@@ -225,7 +239,8 @@ def nearest(points: DataFrame, scratch: Scratch, k: int = 5, min_cosine: float =
         return pa.table({"id": pa.array(qi[r[first]], pa.int64()), "near": lists})
 
     kind = "array<struct<far:double,id:long>>"
-    found = points.mapInArrow(spread, "task long, query boolean, id long, v binary").groupBy("task").applyInArrow(compare, f"id long, near {kind}")
+    met = lambda turn: points.mapInArrow(functools.partial(spread, turn=turn), "task long, query boolean, id long, v binary").groupBy("task").applyInArrow(compare, f"id long, near {kind}")
+    found = met(0) if passes == 1 else scratch.put_all("found", map(met, range(passes)))
     g = found.groupBy("id").agg(F.flatten(F.collect_list("near")).alias("near"))  # k rows at most of each list probed
     return g.select("id", F.slice(F.array_sort(F.array_distinct("near")), 1, k).alias("near"))
 

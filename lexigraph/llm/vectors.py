@@ -72,5 +72,14 @@ def exact_cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def sample(points: DataFrame, n: int, size: int = SAMPLE) -> np.ndarray:
     """About ``size`` unit vectors, chosen by the hash of the id, in order of the id."""
     every = max(1, n // size)
-    t = points.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).toArrow().sort_by("id")
-    return unit(unpacked(t["v"])) if t.num_rows else np.zeros((0, DIM), "f4")
+    t = points.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("id", "v").toArrow()
+    order = np.argsort(t["id"].to_numpy(), kind="stable")
+    place, out, at = np.empty(len(order), "i8"), None, 0
+    place[order] = np.arange(len(order))
+    for v in t["v"].chunks:  # in double precision a part at a time, as the driver is small
+        for lo in range(0, len(v), 8192):
+            x = unit(unpacked(v.slice(lo, 8192)))
+            out = np.empty((len(order), x.shape[1]), "f4") if out is None else out
+            out[place[at : at + len(x)]] = x
+            at += len(x)
+    return out if out is not None else np.zeros((0, DIM), "f4")

@@ -1,11 +1,14 @@
 """Groups and neighbours of vectors against brute force."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lexigraph.llm import clusters, neighbors
 from lexigraph.llm.vectors import DIM, usable
+from lexigraph.session import Scratch
 
 
 def planted(seed=0):
@@ -105,6 +108,34 @@ def test_graph_search_finds_the_nearest_centroids(monkeypatch):
     assert (ids[np.arange(300), d.argmin(1)] == (x @ c.T).argmax(1)).mean() >= 0.98
 
 
+def test_nearest_centroids_in_little_memory():
+    rng = np.random.default_rng(8)
+    c = rng.standard_normal((600, DIM)).astype("f4")
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    x = c[rng.integers(0, 600, 50_000)] + rng.standard_normal((50_000, DIM)).astype("f4") * 0.01
+    index = neighbors.Centroids(c, np.zeros(600, "i8"))
+    tracemalloc.start()
+    got = index.nearest(x)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40e6  # all at once it is 4 KB for each vector, 200 MB
+    assert (got == (x @ c.T).argmax(1)).mean() >= 0.98
+
+
+def test_neighbours_in_passes(spark, scratch, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.standard_normal((12, DIM)), 25, axis=0) + rng.standard_normal((300, DIM)) * 0.1
+    points = usable(frame(spark, [(i, r.tolist()) for i, r in enumerate(x)]), "id", "embedding")
+    near = lambda: {r.id: [y.id for y in r.near] for r in neighbors.nearest(points, scratch, 5, 0.5).collect()}
+    monkeypatch.setattr(neighbors, "TASK_MEMBERS", 7)
+    monkeypatch.setattr(neighbors, "LIST_SIZE", 20)
+    whole = near()
+    monkeypatch.setattr(neighbors, "PASS_ROWS", 1)
+    counted = []
+    monkeypatch.setattr(Scratch, "put_all", lambda self, name, frames, put=Scratch.put_all: put(self, name, (counted.append(1) or f for f in frames)))
+    assert near() == whole and len(whole) == 300 and len(counted) > 1
+
+
 def test_large_lists_are_divided(spark, scratch, monkeypatch):
     monkeypatch.setattr(neighbors, "TASK_MEMBERS", 7)
     monkeypatch.setattr(neighbors, "TASK_QUERIES", 5)
