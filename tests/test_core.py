@@ -101,6 +101,54 @@ def test_similarity_join(spark, block):
     assert near == {(i, j) for i in range(40) for j in sorted((j for j in range(40) if j != i), key=lambda j: -s[i, j])[:3]}
 
 
+@pytest.mark.parametrize("limits", [{"TASK": 16, "PASS_ROWS": 20, "QUERIES": 9}, {"WIDE": 2, "APART": 0.2, "TASK": 8, "FAR": 0.5}])
+def test_similarity_joins_of_clusters_and_far_vectors(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(similarity, name, value)
+    rng = np.random.default_rng(4)
+    x = np.concatenate([np.repeat(rng.standard_normal((6, 12)), 20, axis=0) + rng.standard_normal((120, 12)) * 0.25, rng.standard_normal((30, 12))])
+    x[125] = x[3]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s, n = u @ u.T, len(x)
+    df = spark.createDataFrame([(i, [float(y) for y in r], [i % 7]) for i, r in enumerate(x)], "id long, v array<double>, books array<long>")
+    order = lambda i, among: sorted(among, key=lambda j: (-round(s[i, j], 12), j))
+    for least in (0.6, 0.9):
+        got = [(r.id1, r.id2) for r in similarity.similar_pairs(df.select("id", "v"), least, 1).collect()]
+        assert len(got) == len(set(got)) and set(got) == {(i, j) for i in range(n) for j in range(i + 1, n) if s[i, j] >= least}
+        near = {(r.id, r.place, r.other) for r in similarity.nearest(df.select("id", "v"), 4, least, 1).collect()}
+        assert near == {(i, p + 1, j) for i in range(n) for p, j in enumerate(order(i, [j for j in range(n) if j != i and s[i, j] >= least])[:4])}
+        links = similarity.linking_pairs(df, least, 0.95, 1).collect()
+        want, have = np.eye(n, dtype=bool), np.eye(n, dtype=bool)
+        for i in range(n):
+            for j in range(n):
+                want[i, j] |= s[i, j] >= 0.95 or (s[i, j] >= least and i % 7 == j % 7)
+        for r in links:
+            assert s[r.id1, r.id2] >= least
+            if r.settled or r.id1 % 7 == r.id2 % 7:
+                have[r.id1, r.id2] = have[r.id2, r.id1] = True
+        for _ in range(8):
+            want, have = (a.astype("i8") @ a.astype("i8") > 0 for a in (want, have))
+        assert (want == have).all()
+    near = {(r.id, r.other) for r in similarity.nearest(df.select("id", "v"), 3, cell=1).collect()}
+    assert near == {(i, j) for i in range(n) for j in order(i, [j for j in range(n) if j != i])[:3]}
+    a, b = df.where("id % 2 = 0").select("id", "v"), df.where("id % 3 = 0").select("id", "v")
+    best = {r.id: r.best for r in similarity.best_matches(a, b, 1).collect()}
+    assert best == pytest.approx({i: s[i, 0::3].max() for i in range(0, n, 2)})
+
+
+def test_far_vectors_are_not_sent_to_every_cell(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.repeat(rng.standard_normal((60, 32)), 5, axis=0) + rng.standard_normal((300, 32)) * 0.05, rng.standard_normal((60, 32))])
+    df = spark.createDataFrame([(i, [float(y) for y in r]) for i, r in enumerate(x)], "id long, v array<float>")
+    sent, divided = [], similarity.divided
+    monkeypatch.setattr(similarity, "divided", lambda *a: sent.append(divided(*a)) or sent[-1])
+    counts = []
+    put = session.Scratch.put
+    monkeypatch.setattr(session.Scratch, "put", lambda self, name, d: counts.append(sum(z.count() for z in sent)) or sent.clear() or put(self, name, d))
+    assert similarity.nearest(df, 3, cell=1).count() == 3 * len(x)
+    assert 0 < sum(counts) <= 3 * len(x)
+
+
 def test_upserts(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     new = spark.createDataFrame([(2, "x"), (3, "y"), (3, "z")], "k int, v string")
