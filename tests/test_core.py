@@ -3,6 +3,7 @@
 import io
 import math
 import random
+import tracemalloc
 import zipfile
 
 import numpy as np
@@ -149,6 +150,20 @@ def test_far_vectors_are_not_sent_to_every_cell(spark, monkeypatch):
     assert 0 < sum(counts) <= 3 * len(x)
 
 
+def test_leiden_of_arrays_in_little_memory():
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 3000, (2, 60_000)) * 7
+    a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+    w = rng.random(len(a))
+    nodes = np.unique(np.r_[a, b]).tolist()
+    tracemalloc.start()
+    m = community.leiden(nodes, (a, b, w), 0.05)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert m == community.leiden(nodes, list(zip(a.tolist(), b.tolist(), w.tolist())), 0.05)
+    assert most < 300 * len(a)  # bytes; the list of edges alone takes more than 150 for each
+
+
 def test_upserts(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     new = spark.createDataFrame([(2, "x"), (3, "y"), (3, "z")], "k int, v string")
