@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigraph.operators.graph import components
-from lexigraph.operators.similarity import similar_pairs
+from lexigraph.operators.similarity import linking_pairs
 from lexigraph.session import Scratch
 
 
@@ -17,11 +17,13 @@ def duplicate_groups(vectors: DataFrame, topics: DataFrame, topic_books: DataFra
     canonical topic is the one with most occurrences, the smaller id among equals.
     """
     scratch = scratch.fresh()
-    p = scratch.put("pairs", similar_pairs(vectors, threshold))
-    maybe = p.where(F.col("cosine") < sure)
     tb = topic_books.select("topic_id", "book_id").distinct()
+    books = tb.groupBy("topic_id").agg(F.array_sort(F.collect_list(F.col("book_id").cast("long"))).alias("books"))
+    v = vectors.join(books, vectors.id == books.topic_id, "left").select("id", "v", "books")
+    p = scratch.put("pairs", linking_pairs(v, threshold, sure))
+    maybe = p.where(~F.col("settled"))
     shared = maybe.join(tb.select(F.col("topic_id").alias("id1"), "book_id"), "id1").join(tb.select(F.col("topic_id").alias("id2"), "book_id"), ["id2", "book_id"]).select("id1", "id2").distinct()
-    edges = p.where(F.col("cosine") >= sure).select("id1", "id2").unionByName(shared)
+    edges = p.where("settled").select("id1", "id2").unionByName(shared)
     c = components(edges.select(F.col("id1").alias("src"), F.col("id2").alias("dst")), scratch)
     c = c.join(topics.select(F.col("id").alias("node"), "occ"), "node")
     best = c.groupBy("component").agg(F.max(F.struct("occ", (-F.col("node")).alias("n"))).alias("b"))
